@@ -5,8 +5,8 @@ what it has, the excess reshared by weight among the others. A document of a sou
 ``r = target / source_size`` is taken ``floor(r)`` times for certain and once more with inclusion
 probability ``frac(r)``. The cube method decides those fractional parts: it moves the vector of
 probabilities along the null space of the balancing constraints (documents and words of the source), so
-that both totals stay as they were while unit after unit lands on 0 or 1. Large documents go first, so that
-what stays undecided is small.
+that both totals stay as they were while unit after unit lands on 0 or 1. Documents much larger than the rest
+of their chunk go first, so that what stays undecided is small.
 
 Scale: a source is split into chunks of about ``CHUNK`` documents by a hash of the row, so a source with a
 third of all rows is spread like any other. A chunk's flight leaves at most two undecided documents; these
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from driftframe.durable import cut
 
 CHUNK = 2048
+LARGE = 0.005  # of a chunk's words
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -104,21 +105,43 @@ def flight(share: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray
         hand = rest
 
 
-def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+def land(share: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The corner of the at most two undecided units that is nearest to the words still due."""
+    share, left = share.copy(), np.flatnonzero((share > 0) & (share < 1))
+    due, count = (share[left] * size[left]).sum(), share[left].sum()
+    corners = [np.array([k >> i & 1 for i in range(len(left))], float) for k in range(1 << len(left))]
+    share[left] = min(corners, key=lambda c: (abs((c * size[left]).sum() - due), abs(c.sum() - count), tuple(c)))
+    return share
+
+
+def _ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
     pdf = pdf.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable")
     draws = (pdf["draw"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
-    return pdf.assign(share=flight(pdf["share"].to_numpy(), pdf["size"].to_numpy(), draws))
+    return pdf, pdf["share"].to_numpy(), pdf["size"].to_numpy().astype(float), draws
+
+
+def _fly_first(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's first flight. A document much larger than the rest hardly moves in the null space and would stay
+    for the landing, so the large ones fly and land among themselves, and what their landing is off in words
+    moves the shares of the others."""
+    pdf, share, size, draws = _ordered(pdf)
+    large = size > max(LARGE * size.sum(), 2 * np.median(size))
+    if large.any() and size[~large].sum() > 0:
+        landed = land(flight(share[large], size[large], draws[large]), size[large])
+        off = ((share[large] - landed) * size[large]).sum()
+        share = share.copy()
+        share[large], share[~large] = landed, np.clip(share[~large] + off / size[~large].sum(), 0, 1)
+    return pdf.assign(share=flight(share, size, draws))
+
+
+def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf, share, size, draws = _ordered(pdf)
+    return pdf.assign(share=flight(share, size, draws))
 
 
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A last flight, then the corner of the remaining units that is nearest to the words still due."""
-    pdf = _fly(pdf)
-    share, size = pdf["share"].to_numpy().copy(), pdf["size"].to_numpy().astype(float)
-    left = np.flatnonzero((share > 0) & (share < 1))
-    due = (share[left] * size[left]).sum()
-    corners = [np.array([k >> i & 1 for i in range(len(left))], float) for k in range(1 << len(left))]
-    share[left] = min(corners, key=lambda c: (abs((c * size[left]).sum() - due), abs(c.sum() - share[left].sum()), tuple(c)))
-    return pdf.assign(share=share)
+    pdf, share, size, draws = _ordered(pdf)
+    return pdf.assign(share=land(flight(share, size, draws), size))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ratio: int = 3, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
@@ -140,9 +163,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ratio: int =
     )
     schema = units.schema
     open_ = (F.col("share") > 0) & (F.col("share") < 1)
-    done, todo = units.filter(~open_), units.filter(open_)
+    done, todo, fly = units.filter(~open_), units.filter(open_), _fly_first
     while True:
-        flown = cut(todo.groupBy("source", "chunk").applyInPandas(_fly, schema))
+        flown, fly = cut(todo.groupBy("source", "chunk").applyInPandas(fly, schema)), _fly
         done, left = done.unionByName(flown.filter(~open_)), flown.filter(open_)
         most = left.groupBy("source").count().agg(F.max("count")).first()[0]
         if (most or 0) <= chunk:
