@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftframe.llm import decontaminate, mixing
+from driftframe.llm import decontaminate, mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_decontaminate": op4_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -45,5 +50,16 @@ hi as (select r, count(*) as n_items, string_agg(s, ',' order by s) as ids from
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
 from d left join hw using (r) left join hi using (r)
+""",
+    "op5_substring_dedup": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select r, i, array_to_string(w[i:i + 34], ' ') as g from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+rep as (select r, i from (select r, i, count(*) over (partition by g) as c from win) where c > 1),
+gone as (select distinct r, unnest(range(i, i + 35)) as p from rep),
+word as (select r, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select r, string_agg(x, ' ' order by p) as t from word anti join gone using (r, p) group by r),
+cut as (select r, count(*) as n from gone group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r) left join cut using (r)
 """,
 }
