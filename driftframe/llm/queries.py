@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftframe.llm import decontaminate, mixing, substring_dedup
+from driftframe.llm import decontaminate, mixing, near_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_near_dedup": op6_near_dedup,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -61,5 +66,17 @@ kept as (select r, string_agg(x, ' ' order by p) as t from word anti join gone u
 cut as (select r, count(*) as n from gone group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (r) left join cut using (r)
+""",
+    "op6_near_dedup": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+links as (
+  select x.doc_id as a, y.doc_id as b from sh x join sh y on x.g = y.g and x.doc_id <> y.doc_id
+  join n nx on nx.doc_id = x.doc_id join n ny on ny.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id, nx.n, ny.n having 100 * count(*) >= 85 * (nx.n + ny.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.b as component_id, d.doc_id = c.b as kept
+from d left join n using (doc_id) join (select a, min(b) as b from reach group by a) c on c.a = d.doc_id
 """,
 }
