@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftframe.llm import ann, decontaminate, langid, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup
+from driftframe.llm import ann, decontaminate, html_extract, langid, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_dedup": op6_near_dedup,
+    "op7_html_extract": op7_html_extract,
     "op8_nearest": op8_nearest,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
