@@ -12,9 +12,10 @@ How links are found without comparing all pairs of a group:
 * In each bucket of a band every class is compared with one hub, the class that shares most with others. In a group
   of copies of one original that is the original or a copy close to it, so nearly all links are found here.
 * A member whose component differs from its hub's could still be linked to another member. For those an exact
-  prefix filter applies: under any fixed order of elements, two sets similar enough share an element within their
-  first ``n - ceil(0.85 n) + 1``. The order taken puts elements that the hub lacks first: what makes a member differ
-  from its hub is rare among the others, so hardly any pair is left, and each of these is compared in full.
+  prefix filter applies: under any fixed order of elements, the first one that two sets share has at least as many
+  elements from it on, in either set, as the two must share. The order taken puts elements that the hub lacks first:
+  what makes a member differ from its hub is rare among the others. What both share with the hub bounds what they share
+  with each other. Hardly any pair is left, and each of these is compared in full.
 
 So every pair of classes that shares a bucket is either in one component already, compared, or ruled out exactly.
 Buckets, hubs and copies may be large: counts and hubs are partial aggregates, and the joins carry plain keys that AQE
@@ -138,16 +139,17 @@ def prefix(elements: np.ndarray, in_hub: np.ndarray, least: int = LEAST) -> np.n
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hubs, nodes = batch.column("hub_elements"), batch.column("node_elements")
-        links, heads, sizes = [], [], []
+        links, heads, sizes, common = [], [], [], []
         for h, x in zip(hubs, nodes):
             h, x = np.frombuffer(h.as_buffer(), U64), np.frombuffer(x.as_buffer(), U64)
             yes, shared = linked(h, x)
             links.append(yes)
             sizes.append(len(x))
+            common.append(int(shared.sum()))
             heads.append(prefix(x, shared).view(np.int64))
         head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in heads])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *heads])))
         names = ["hub", "hub_rep", "node", "node_rep"]
-        yield pa.record_batch([*(batch.column(c) for c in names), pa.array(links, pa.bool_()), pa.array(sizes, pa.int64()), head], [*names, "linked", "n", "head"])
+        yield pa.record_batch([*(batch.column(c) for c in names), pa.array(links, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), head], [*names, "linked", "n", "common", "head"])
 
 
 _PAIR = "hub binary, hub_rep long, node binary, node_rep long"
@@ -157,7 +159,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     nodes = sets.select("node", F.col("elements").alias("node_elements"))
     hubs = sets.select(F.col("node").alias("hub"), F.col("elements").alias("hub_elements"))
     both = pairs.join(nodes, "node").join(hubs, "hub")
-    return cut(both.select("hub", "hub_rep", "node", "node_rep", "hub_elements", "node_elements").mapInArrow(_compare, f"{_PAIR}, linked boolean, n long, head array<long>"))
+    return cut(both.select("hub", "hub_rep", "node", "node_rep", "hub_elements", "node_elements").mapInArrow(_compare, f"{_PAIR}, linked boolean, n long, common long, head array<long>"))
 
 
 def _edges(compared: DataFrame) -> DataFrame:
@@ -191,9 +193,11 @@ def group(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     placed = _labelled(_labelled(compared, labels, "node_rep", "own"), labels, "hub_rep", "hubs")
-    heads = lambda rows, to: rows.select("hub", F.explode("head").alias("element"), *[F.col(c).alias(f"{to}_{c}") for c in ("node", "node_rep", "n", "own")])
+    heads = lambda rows, to: rows.select("hub", F.posexplode("head").alias("at", "element"), "node", "node_rep", "n", "common", "own").select("hub", "element", *[F.col(c).alias(f"{to}_{c}") for c in ("at", "node", "node_rep", "n", "common", "own")])
     apart = heads(placed.filter("own != hubs"), "y").join(heads(placed, "x"), ["hub", "element"])
-    apart = apart.filter(f"x_own != y_own and 100 * least(x_n, y_n) >= {LEAST} * greatest(x_n, y_n)")
+    due = f"{LEAST} * (x_n + y_n)"  # of 100 + LEAST parts of the elements that both must share
+    most = ("x_n - x_at", "y_n - y_at", "least(x_common, y_common) + least(x_n - x_common, y_n - y_common)")
+    apart = apart.filter(" and ".join(["x_own != y_own", *(f"{100 + LEAST} * ({m}) >= {due}" for m in most)]))
     first = F.col("x_node") < F.col("y_node")
     side = lambda c: (F.when(first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(first, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
     (hub, node), (hub_rep, node_rep) = side("node"), side("node_rep")
