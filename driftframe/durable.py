@@ -8,6 +8,7 @@ choose a broadcast by a measured size.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,3 +31,10 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of frames that nothing refers to any more. It learns of them when
+    the driver collects its garbage, which a driver with room may put off past the end of a long job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
