@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +38,25 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of frames that nothing refers to any more. It learns of them when
-    the driver collects its garbage, which a driver with room may put off past the end of a long job."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    the driver collects its garbage, which a driver with room may put off past the end of a long job. The first round
+    lets go of what Python held, the second finds it."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once an application, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        to = Path(tempfile.mkdtemp(prefix="driftframe-")) / "driftframe.zip"
+        with zipfile.ZipFile(to, "w") as out:
+            for p in sorted(root.rglob("*.py")):
+                out.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(to))
+        _shipped.add(context.applicationId)

@@ -1 +1 @@
-
+"""Column expressions: equality of values, and statuses of fields."""
