@@ -32,6 +32,7 @@ PER_LANG, SEQUENCES, RUN = 200, 1200, 24
 GRAM_BITS, WORD_BITS = 16, 18
 ROUNDS, RATE, DECAY = 40, 0.2, 1e-4
 UNKNOWN = "und"
+LEAST = 0.34  # below this mean posterior a text is in no learned language; an even guess among four is 0.25
 
 
 @dataclass
@@ -211,6 +212,15 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def _sieve(shared, least: float) -> Callable:  # noqa: ANN001
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
+                yield part.filter(pa.array(predict(part.column("text"), shared.value)[1] >= least))
+
+    return run
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -231,3 +241,13 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without those whose language is ``und`` or less certain than ``least``; all columns stay. Without any
+    learned label only texts without a letter go."""
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    model = learn(docs)
+    if model is None:
+        return lettered
+    return lettered.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)

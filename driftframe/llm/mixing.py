@@ -145,11 +145,13 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ratio: int = 3, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
-    """``docs(doc_id, text, source)`` to ``(doc_id, source, size, source_size, target, copies, taken)``."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    repeats = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))  # numbered, so that equal rows draw apart
-    sizes = repeats.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
-    sizes = cut(sizes.select("doc_id", "source", "size", F.xxhash64(F.lit(seed), "doc_id", "source", "size", "nth").alias("draw")))
+    """``docs(doc_id, text, source)`` to ``(doc_id, source, text_key, size, source_size, target, copies, taken)``; ``text_key``
+    is a hash of the text."""
+    row = ["doc_id", "source", "text_key", "size"]
+    sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    repeats = sizes.groupBy(*row).agg(F.count("*").alias("n"))  # numbered, so that equal rows draw apart
+    sizes = repeats.select(*row, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
+    sizes = cut(sizes.select(*row, F.xxhash64(F.lit(seed), *row, "nth").alias("draw")))
     targets = cut(source_targets(sizes, weights, max_ratio))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.struct(F.col("source").isNull().alias("null"), F.coalesce("source", F.lit("")).alias("name"))
@@ -159,7 +161,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ratio: int =
         .withColumn("whole", F.floor(ratio + 1e-9))
         .withColumn("share", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
         .withColumn("chunk", F.pmod(F.col("draw"), F.ceil(F.col("n_docs") / chunk)))
-        .select("doc_id", "source", "size", "source_size", "target", "draw", "whole", "share", "chunk")
+        .select(*row, "source_size", "target", "draw", "whole", "share", "chunk")
     )
     schema = units.schema
     open_ = (F.col("share") > 0) & (F.col("share") < 1)
@@ -174,4 +176,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ratio: int =
         todo = left.join(counts, left["source"].eqNullSafe(counts["source"])).drop(counts["source"]).withColumn("chunk", F.pmod(F.shiftright("draw", 17), "parts")).select(*schema.names)
     done = done.unionByName(left.groupBy("source").applyInPandas(_land, schema))
     copies = (F.col("whole") + F.round("share")).cast("long")
-    return done.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select(*row, F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
+    """The rows of ``docs`` that the mix takes at least once, all columns, with ``copies``, ``taken`` and ``target``. Rows
+    equal in doc_id, source and text share their copies: the first ones get the larger number."""
+    key = lambda text_key: F.struct("doc_id", "source", text_key.alias("text_key")).alias("_row")
+    mine = mix(docs, **options).select(key(F.col("text_key")), "size", "copies", "target")
+    most = mine.groupBy("_row").agg(F.max("copies").alias("_high"), F.min("copies").alias("_low"), F.max(F.struct("copies", "size")).alias("_top"), F.first("target").alias("target"))
+    most = most.join(mine.select("_row", F.col("copies").alias("_high")).groupBy("_row", "_high").count(), ["_row", "_high"])
+    own = docs.drop(*{"copies", "taken", "target"} & set(docs.columns)).withColumn("_row", key(F.xxhash64("text")))
+    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).join(most, "_row")
+    own = own.withColumn("copies", F.when(F.col("_nth") <= F.col("count"), F.col("_high")).otherwise(F.col("_low"))).filter("copies > 0")
+    return own.withColumn("taken", F.col("copies") * F.col("_top.size")).drop("_row", "_nth", "_high", "_low", "_top", "count")

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.durable import cut
@@ -112,7 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, elements, first in shingle_sets(batch.column("text")):
             bands = band_hashes(signatures(elements, first)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first), dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.record_batch([batch.column("doc_id")[rows], pa.array(np.diff(first)), pa.array(_names(elements, first), pa.binary()), lists], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.record_batch([batch.column("doc_id")[rows], batch.column("text_key")[rows], pa.array(np.diff(first)), pa.array(_names(elements, first), pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "node", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +171,10 @@ def _labelled(rows: DataFrame, labels: DataFrame, rep: str, name: str) -> DataFr
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id long, text)`` to ``(doc_id, n_shingles, component_id, kept)``."""
+    """``docs(doc_id long, text)`` to ``(doc_id, text_key, n_shingles, component_id, kept)``; ``text_key`` is a hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, node binary, bands array<long>"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    signed = cut(keyed.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"))
     known = signed.filter("node is not null and doc_id is not null")
     classes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
 
@@ -206,6 +207,14 @@ def group(docs: DataFrame) -> DataFrame:
         labels = components(links.unionByName(late))
 
     component = _labelled(classes.select("node", "rep"), labels, "rep", "component_id").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(component, "node", "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
     component_id = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group, all columns. Of rows equal in doc_id and text the first one found stays."""
+    kept = group(docs).filter("kept").select(F.struct(F.col("doc_id"), F.col("text_key")).alias("_row")).distinct()
+    own = docs.withColumn("_row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")))
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
+    return own.join(kept, "_row", "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_row", "_nth")
