@@ -28,19 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftframe.durable import cut, release
 from driftframe.llm.blocks import Block, blocks, mix
 
 SIZE, ANCHOR, PERIOD = 35, 15, 21
 COVER = (0, 1, 4, 14, 16)
-_PLACES = "code long, key long, tail long, many boolean"
+#: ``tail`` holds the other half of the hash (32 bits), whether the hash is known to repeat (1 bit), and the place (31 bits).
+_PLACES = "code long, key long, tail long"
+_MANY = 1 << 31
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def _once(code: np.ndarray, key: np.ndarray, tail: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
-    """Places for the count, ``many`` where the hash is known to repeat. Repeats inside the block keep their row, under
+    """Places for the count, marked where the hash is known to repeat. Repeats inside the block keep their row, under
     a code of their own, and the first place carries the hash."""
     order = np.lexsort((code,)) if more is None else np.lexsort((more, code))
     same = code[order][1:] == code[order][:-1]
@@ -51,7 +54,8 @@ def _once(code: np.ndarray, key: np.ndarray, tail: np.ndarray, more: np.ndarray
     many[order[1:][same]] = many[order[:-1][same]] = True
     out = code.copy()
     out[later] = mix(key[later] * np.uint64(3) + tail[later])
-    return pa.record_batch([out.view(np.int64), key.view(np.int64), tail.view(np.int64), many], ["code", "key", "tail", "many"])
+    tail = tail | (many.astype(np.uint64) << np.uint64(31))
+    return pa.record_batch([out.view(np.int64), key.view(np.int64), tail.view(np.int64)], ["code", "key", "tail"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,21 +119,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([out.column(0), out.column(1), out.column(2), pa.array(sums, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _repeated(places: DataFrame, *by: str) -> DataFrame:
-    """Places whose hash occurs twice, as one list a document."""
-    group = ", ".join(by)
-    counted = places.withColumn("n", F.expr(f"count(1) over (partition by {group})")).filter("n > 1 or many")
-    return counted.groupBy("key").agg(F.collect_list((F.col("tail").bitwiseAND(0xFFFFFFFF)).cast("int")).alias("places"))
+def _repeated(places: DataFrame) -> DataFrame:
+    """Places whose hash occurs twice, as one list a document. Rows are dealt by half of the hash and counted by all of it."""
+    same = Window.partitionBy("code", F.shiftrightunsigned("tail", 32))
+    counted = places.repartition("code").withColumn("n", F.count("*").over(same))
+    counted = counted.filter((F.col("n") > 1) | (F.col("tail").bitwiseAND(_MANY) != 0))
+    return counted.groupBy("key").agg(F.collect_list(F.col("tail").bitwiseAND(_MANY - 1).cast("int")).alias("places"))
 
 
 def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_words, n_removed, kept)``, or with ``kept_sha256`` in place of the text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    anchors = keyed.select("key", "text").mapInArrow(_anchors, _PLACES)
-    near = _repeated(anchors, "code")
+    near = cut(_repeated(keyed.select("key", "text").mapInArrow(_anchors, _PLACES)))
+    release(docs.sparkSession)  # the anchors are the larger part of what is shuffled, and done with
     # doc_id rides along so that both joins read one and the same exchange of the texts
     windows = keyed.join(near, "key").select("key", "doc_id", "text", "places").mapInArrow(_windows, _PLACES)
-    found = _repeated(windows.withColumn("more", F.shiftrightunsigned("tail", 32)), "code", "more")
+    found = _repeated(windows)
     joined = keyed.join(found, "key", "left").select("doc_id", "text", "places")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_digest if digest else _kept, f"doc_id {kind}, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
