@@ -40,6 +40,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT_TAGS = frozenset("script style noscript template textarea iframe svg math object canvas audio video title".split())
+UNSEEN_TAGS = frozenset("script style noscript template".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_STAYS = frozenset("button label option optgroup select legend summary".split())
 
@@ -118,7 +119,8 @@ def parse(page: str) -> Blocks:
             flush() if tag in BLOCK_TAGS else None
             close = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
-            text.append(" ")
+            if tag not in UNSEEN_TAGS:
+                text.append(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()

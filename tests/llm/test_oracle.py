@@ -1,0 +1,24 @@
+import glob
+import os
+
+import duckdb
+import pytest
+
+from driftframe.llm.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    got, want = QUERIES[name](spark, SF), con.sql(SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, ([r[c] for c in columns] for r in got.collect()))) == sorted(map(str, ([r[want.columns.index(c)] for c in columns] for r in want.fetchall())))
+
+
+def test_ten_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
