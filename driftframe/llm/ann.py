@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.durable import cut
+from driftframe.llm.sampling import smallest
 
 K, EVERY = 10, 100
 SAMPLE, BRANCHES, LEAF = 20_000, 8, 96
@@ -179,7 +180,7 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, recall: float = REC
     rows = valid_vectors(table)
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     rows_kept = cut(rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth"))
-    picked = rows_kept.orderBy(F.xxhash64("vec_id", F.lit(29)), "vec_id").limit(sample).collect()
+    picked = smallest(rows_kept, sample, ["vec_id", "v"], 29).collect()
     points = np.array([r["v"] for r in picked], float) if picked else np.zeros((0, 1))
     tree = Tree()
     tree.grow(points, points.mean(0) if len(points) else np.zeros(1), np.random.Generator(np.random.PCG64(41)))

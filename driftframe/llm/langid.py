@@ -23,10 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftframe.llm.blocks import U64, Block, blocks, strings
+from driftframe.llm.sampling import smallest
 
 PER_LANG, SEQUENCES, RUN = 200, 1200, 24
 GRAM_BITS, WORD_BITS = 16, 18
@@ -228,8 +229,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """A model from at most ``per_lang`` labelled documents a language that are not held out."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(17)), "text"))
-    sample = rows.withColumn("nth", nth).filter(F.col("nth") <= per_lang).select("text", "lang").collect()
+    sample = smallest(rows, per_lang, ["doc_id", "text"], 17, each="lang").select("text", "lang").collect()
     return train(sorted((r["text"], r["lang"]) for r in sample))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from driftframe.llm.blocks import Block, blocks
 from driftframe.llm.langid import held_out
+from driftframe.llm.sampling import smallest
 
 SAMPLE, TREES, DEPTH, CUTS = 8000, 30, 3, 24
 STATISTICS = (
@@ -197,7 +198,7 @@ def compiled(model: Ensemble) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Ensemble:
     """An ensemble from at most ``sample`` labelled rows that are not held out."""
     named = labels.select("doc_id", F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    named = named.orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id", "y").limit(sample)
+    named = smallest(named, sample, ["doc_id", "y"], 23)
     rows = measured(docs.select("doc_id", "text").join(named, "doc_id")).toPandas().sort_values(["doc_id", "y", *STATISTICS])
     return fit(rows[list(STATISTICS)].to_numpy(float), (rows["y"].to_numpy(float) > 0).astype(float))
 
