@@ -15,7 +15,8 @@ How links are found without comparing all pairs of a group:
   prefix filter applies: under any fixed order of elements, the first one that two sets share has at least as many
   elements from it on, in either set, as the two must share. The order taken puts elements that the hub lacks first:
   what makes a member differ from its hub is rare among the others. What both share with the hub bounds what they share
-  with each other. Hardly any pair is left, and each of these is compared in full.
+  with each other. The pairs left are compared exactly by their differences from the hub, which are much smaller than
+  the sets: two sets share what the hub has and neither lacks, and what both have beyond it.
 
 So every pair of classes that shares a bucket is either in one component already, compared, or ruled out exactly.
 Buckets, hubs and copies may be large: counts and hubs are partial aggregates, and the joins carry plain keys that AQE
@@ -37,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.durable import cut
+from driftframe.durable import cut, release
 from driftframe.llm.blocks import U64, blocks, mix
 from driftframe.llm.components import components
 
 SHINGLE, LEAST = 3, 85
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
+MAX_BROADCAST = 2_000_000  # rows of one or two numbers
 _EMPTY = np.iinfo(np.uint64).max
 _BAND_KEYS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * U64(2) + U64(1)
 
@@ -139,27 +141,31 @@ def prefix(elements: np.ndarray, in_hub: np.ndarray, least: int = LEAST) -> np.n
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hubs, nodes = batch.column("hub_elements"), batch.column("node_elements")
-        links, heads, sizes, common = [], [], [], []
+        out: dict[str, list] = {c: [] for c in ("linked", "n", "n_hub", "head", "added", "missing")}
         for h, x in zip(hubs, nodes):
             h, x = np.frombuffer(h.as_buffer(), U64), np.frombuffer(x.as_buffer(), U64)
             yes, shared = linked(h, x)
-            links.append(yes)
-            sizes.append(len(x))
-            common.append(int(shared.sum()))
-            heads.append(prefix(x, shared).view(np.int64))
-        head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in heads])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *heads])))
+            out["linked"].append(yes)
+            out["n"].append(len(x))
+            out["n_hub"].append(len(h))
+            out["head"].append(prefix(x, shared).view(np.int64))
+            out["added"].append(x[~shared].view(np.int64))
+            out["missing"].append(np.setdiff1d(h, x[shared], assume_unique=True).view(np.int64))
         names = ["hub", "hub_rep", "node", "node_rep"]
-        yield pa.record_batch([*(batch.column(c) for c in names), pa.array(links, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), head], [*names, "linked", "n", "common", "head"])
+        yield pa.record_batch([*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(out.values(), _KINDS))], [*names, *out])
 
 
-_PAIR = "hub binary, hub_rep long, node binary, node_rep long"
+_KINDS = (pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda to: sets.select(F.col("id").alias(to), F.col("rep").alias(f"{to}_rep"), F.col("elements").alias(f"{to}_elements"))
+    both = pairs.join(side("node"), "node").join(side("hub"), "hub")
+    out = "hub long, hub_rep long, node long, node_rep long, linked boolean, n long, n_hub long, head array<long>, added array<long>, missing array<long>"
+    return cut(both.select("hub", "hub_rep", "node", "node_rep", "hub_elements", "node_elements").mapInArrow(_compare, out))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    nodes = sets.select("node", F.col("elements").alias("node_elements"))
-    hubs = sets.select(F.col("node").alias("hub"), F.col("elements").alias("hub_elements"))
-    both = pairs.join(nodes, "node").join(hubs, "hub")
-    return cut(both.select("hub", "hub_rep", "node", "node_rep", "hub_elements", "node_elements").mapInArrow(_compare, f"{_PAIR}, linked boolean, n long, common long, head array<long>"))
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
 def _edges(compared: DataFrame) -> DataFrame:
@@ -176,33 +182,38 @@ def group(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     signed = cut(keyed.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"))
     known = signed.filter("node is not null and doc_id is not null")
-    classes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    classes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
 
-    rows = classes.select("node", "rep", F.explode("bands").alias("bucket"))
+    rows = classes.select("id", F.explode("bands").alias("bucket"))
     sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = cut(rows.join(sizes, "bucket"))
-    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = members.join(weight, "node")
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("weight", "node", "rep")).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.rep").alias("hub_rep"))
-    pairs = cut(members.join(hubs, "bucket").filter("hub != node").select("hub", "hub_rep", "node", F.col("rep").alias("node_rep")).distinct())
-
-    wanted = pairs.select(F.col("hub_rep").alias("doc_id")).unionByName(pairs.select(F.col("node_rep").alias("doc_id"))).distinct()
-    named = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node binary, elements binary")
-    sets = cut(named.filter("node is not null").groupBy("node").agg(F.first("elements").alias("elements")))
+    members = cut(rows.join(_small(sizes), "bucket"))
+    release(docs.sparkSession)  # of the rows of all bands
+    members = members.join(members.groupBy("id").agg(F.sum("n").alias("weight")), "id")
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("h")).select("bucket", F.col("h.id").alias("hub"))
+    pairs = cut(members.join(hubs, "bucket").filter("hub != id").select("hub", F.col("id").alias("node")).distinct())
+
+    used = pairs.select(F.col("hub").alias("id")).unionByName(pairs.select(F.col("node").alias("id"))).distinct()
+    wanted = cut(classes.select("id", "node", "rep").join(used, "id"))
+    ids = _small(cut(wanted.select(F.col("rep").alias("doc_id")).distinct()))  # if not broadcast, the texts are shuffled
+    named = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "node binary, elements binary")
+    sets = cut(named.filter("node is not null").groupBy("node").agg(F.first("elements").alias("elements")).join(wanted, "node").select("id", "rep", "elements"))
+    release(docs.sparkSession)  # of the texts and sets
     compared = _compared(pairs, sets)
+    release(docs.sparkSession)
     links = _edges(compared)
     labels = components(links)
 
     placed = _labelled(_labelled(compared, labels, "node_rep", "own"), labels, "hub_rep", "hubs")
-    heads = lambda rows, to: rows.select("hub", F.posexplode("head").alias("at", "element"), "node", "node_rep", "n", "common", "own").select("hub", "element", *[F.col(c).alias(f"{to}_{c}") for c in ("at", "node", "node_rep", "n", "common", "own")])
-    apart = heads(placed.filter("own != hubs"), "y").join(heads(placed, "x"), ["hub", "element"])
+    placed = placed.withColumn("common", F.col("n") - F.size("added")).withColumn("apart", F.col("own") != F.col("hubs"))
+    heads = lambda rows, to: rows.select("hub", F.posexplode("head").alias("at", "element"), "node", "n", "common", "own", "apart").select("hub", "element", *[F.col(c).alias(f"{to}_{c}") for c in ("at", "node", "n", "common", "own", "apart")])
+    apart = heads(placed.filter("apart"), "y").join(heads(placed, "x"), ["hub", "element"])
     due = f"{LEAST} * (x_n + y_n)"  # of 100 + LEAST parts of the elements that both must share
     most = ("x_n - x_at", "y_n - y_at", "least(x_common, y_common) + least(x_n - x_common, y_n - y_common)")
-    apart = apart.filter(" and ".join(["x_own != y_own", *(f"{100 + LEAST} * ({m}) >= {due}" for m in most)]))
-    first = F.col("x_node") < F.col("y_node")
-    side = lambda c: (F.when(first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(first, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
-    (hub, node), (hub_rep, node_rep) = side("node"), side("node_rep")
-    late = _edges(_compared(apart.select(hub.alias("hub"), hub_rep.alias("hub_rep"), node.alias("node"), node_rep.alias("node_rep")).distinct(), sets))
+    apart = apart.filter(" and ".join(["x_own != y_own", "(not x_apart or x_node < y_node)", *(f"{100 + LEAST} * ({m}) >= {due}" for m in most)])).select("hub", "x_node", "y_node").distinct()
+    side = lambda to: compared.select("hub", "n_hub", *[F.col(c).alias(f"{to}_{c}") for c in ("node", "node_rep", "n", "added", "missing")])
+    apart = apart.join(side("x"), ["hub", "x_node"]).join(side("y").drop("n_hub"), ["hub", "y_node"])
+    both = "n_hub - size(array_union(x_missing, y_missing)) + size(array_intersect(x_added, y_added))"
+    late = cut(apart.filter(f"100 * ({both}) >= {LEAST} * (x_n + y_n - ({both}))").select(F.col("x_node_rep").alias("a"), F.col("y_node_rep").alias("b")))
     if not late.isEmpty():
         labels = components(links.unionByName(late))
 
