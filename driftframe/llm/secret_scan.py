@@ -35,19 +35,13 @@ STATED = 3
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Common words of program identifiers.
 IDENTIFIER_WORDS = (
-    "account active address admin amount array async batch begin buffer build cache callback channel character class client close cluster "
-    "code collection column command comment commit config connection container content context control convert count create current data "
-    "database date default delete description device dictionary directory document download element email enable encoding entry error event "
-    "exception execute export factory field file filter format function generate get global group handler hash header height history host "
-    "image import index info initialize input insert instance integer interface internal invalid iterator job key label language last layout "
-    "length level library limit line link list load local location log long manager map master match memory message method metric model "
-    "module monitor name network node number object offset operation option order output package page parameter parent parse password path "
-    "pattern payload pending permission player plugin point pool port position prefix previous print priority process product profile project "
-    "property protocol provider proxy public query queue random range read record reference register release remote remove report request "
-    "reset resource response result return root row rule sample schedule schema scope score search section select send sequence server "
-    "service session set setting shared size sort source stack start state status step storage stream string structure style submit system "
-    "table tag target task template test text thread time timeout timestamp title token total transaction transform tree type update upload "
-    "url user utility valid value variable vector version view width window worker write zone"
+    "account address amount async begin build callback character client cluster collection command commit connection content control "
+    "count current database default description dictionary document element enable entry event execute factory file format generate "
+    "global handler header history image index initialize insert integer internal iterator key language layout level limit link load "
+    "location long map match message metric module name node object operation order package parameter parse path payload permission "
+    "plugin pool position previous priority product project protocol proxy query random read reference release remove request resource "
+    "result root rule schedule scope search select sequence service set shared sort stack state step stream structure submit table "
+    "target template text time timestamp token transaction tree update url utility value vector view window write"
 ).split()
 
 
