@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from driftframe.durable import cut, release
 from driftframe.llm.blocks import U64, blocks, mix
-from driftframe.llm.components import components
+from driftframe.llm.components import components, joined
 
 SHINGLE, LEAST = 3, 85
 BANDS, ROWS = 25, 5
@@ -215,7 +215,7 @@ def group(docs: DataFrame) -> DataFrame:
     both = "n_hub - size(array_union(x_missing, y_missing)) + size(array_intersect(x_added, y_added))"
     late = cut(apart.filter(f"100 * ({both}) >= {LEAST} * (x_n + y_n - ({both}))").select(F.col("x_node_rep").alias("a"), F.col("y_node_rep").alias("b")))
     if not late.isEmpty():
-        labels = components(links.unionByName(late))
+        labels = joined(labels, late)
 
     component = _labelled(classes.select("node", "rep"), labels, "rep", "component_id").select("node", "component_id")
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")

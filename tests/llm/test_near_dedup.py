@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from driftframe.llm import components as parts
 from driftframe.llm import near_dedup
-from driftframe.llm.components import components, union_find
+from driftframe.llm.components import components, joined, union_find
 
 
 def shingles(text):
@@ -89,12 +91,18 @@ def test_signature_does_not_depend_on_company():
     assert (both[0] == alone[0]).all() and (both[0] == both[3]).all() and (both[1] == near_dedup._EMPTY).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [10_000, 37])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr(parts, "PER_TASK", per_task)
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)] + [(600, i) for i in range(601, 700)]
     want = {a: b for a, b in union_find(iter(edges)).items() if a != b}
     got = {r["a"]: r["b"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == want
+    more = [(rng.randrange(800), rng.randrange(800)) for _ in range(60)]
+    want = {a: b for a, b in union_find(iter(edges + more)).items() if a != b}
+    after = joined(components(spark.createDataFrame(edges, "a long, b long")), spark.createDataFrame(more, "a long, b long"))
+    assert {r["a"]: r["b"] for r in after.collect()} == want
 
 
 def test_keep_one(make, odd_rows):
