@@ -224,12 +224,12 @@ def _by_position(level: Level, left: Column, right: Column, values: bool) -> Col
 
 
 def _by_key(level: Level, left: Column, right: Column, values: bool) -> Column:
-    """Elements meet by key. The work grows with distinct keys times elements of one array, in place, without a shuffle.
-    Arrays that are equal as a whole pair each element with itself, repeated keys or not."""
+    """Elements meet by key, in place and without a shuffle: both arrays' elements are sorted by key, side and position, and
+    each run of one key is a group. Arrays that are equal as a whole pair each element with itself, repeated keys or not."""
     array = level.array
     own_key = lambda e: normal_key(array.keyed.keys, array.children, e)
     there = lambda a: F.filter(a, lambda e: e.isNotNull())
-    paired = lambda a: F.transform(there(a), lambda e: F.struct(own_key(e).alias("k"), e.alias("e")))
+    tagged = lambda a, side: F.transform(there(a), lambda e, i: F.struct(own_key(e).alias("k"), F.lit(side).alias("side"), i.alias("at"), e.alias("e")))
 
     def extra(k: Column, x: Column, y: Column, xs: Column, ys: Column) -> list[Column]:
         return [k.alias("key"), x.alias("left"), y.alias("right"), F.reverse(xs).alias("lefts"), F.reverse(ys).alias("rights")] if values else []
@@ -244,12 +244,21 @@ def _by_key(level: Level, left: Column, right: Column, values: bool) -> Column:
         alone = F.when(~single, MULTIPLE).when(F.size(ys) == 0, LEFT_ONLY).when(F.size(xs) == 0, RIGHT_ONLY)
         return compared(level, x, y, single & (F.size(xs) > 0) & (F.size(ys) > 0), (alone, alone), extra(k, x, y, xs, ys), values)
 
-    def matched(ls: Column, rs: Column) -> Column:
-        keys = F.array_distinct(F.concat(F.transform(ls, lambda p: p["k"]), F.transform(rs, lambda p: p["k"])))
-        of = lambda side, k: F.transform(F.filter(side, lambda p: p["k"].eqNullSafe(k)), lambda p: p["e"])
-        return F.transform(keys, lambda k: let(F.struct(of(ls, k).alias("x"), of(rs, k).alias("y")), lambda g: group(k, g["x"], g["y"])))
-
-    by_key = let(F.struct(paired(left).alias("l"), paired(right).alias("r")), lambda p: matched(p["l"], p["r"]))
+    def runs(all_: Column) -> Column:
+        """The runs of one key of the sorted elements."""
+        n = F.size(all_)
+        key_at = lambda i: F.element_at(all_, i)["k"]
+        places = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+        later = F.filter(places, lambda i: ~key_at(i).eqNullSafe(key_at(i - 1)))
+        edges = F.when(n > 0, F.concat(F.array(F.lit(1)), later, F.array(n + 1))).otherwise(F.array(F.lit(1)))
+        cut = lambda e: F.zip_with(F.slice(e, 1, F.size(e) - 1), F.slice(e, 2, F.size(e)), lambda a, b: F.slice(all_, a, b - a))
+        return let(edges, lambda e: F.filter(cut(e), lambda r: r.isNotNull()))
+
+    def matched(all_: Column) -> Column:
+        of = lambda run, side: F.transform(F.filter(run, lambda p: p["side"] == side), lambda p: p["e"])
+        return F.transform(runs(all_), lambda run: let(F.struct(F.element_at(run, 1)["k"].alias("k"), of(run, 0).alias("x"), of(run, 1).alias("y")), lambda g: group(g["k"], g["x"], g["y"])))
+
+    by_key = let(F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))), matched)
     if not _same_fields(array.children):
         return by_key
     itself = F.transform(there(left), lambda e: let(e, lambda x: compared(level, x, x, F.lit(True), (F.lit(None), F.lit(None)), extra(own_key(x), x, x, F.array(x), F.array(x)), values)))
