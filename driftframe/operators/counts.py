@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.functions.status import CATEGORIES, DIFFERENT, IDENTICAL, LEFT_ONLY, MULTIPLE, RIGHT_ONLY, Level, OneSidedScope
+from driftframe.functions.status import CATEGORIES, DIFFERENT, MULTIPLE, Level, OneSidedScope
 from driftframe.operators.match import KINDS, kind_of
 from driftframe.plans.plan import LEFT
 
@@ -75,6 +75,3 @@ def counts(judged: DataFrame, root: Level, lone: list[OneSidedScope]) -> DataFra
     wide = judged.agg(*[F.coalesce(n, F.lit(0)).cast("long").alias(f"n{i}") for i, (*_, n) in enumerate(rows) if n is not None])
     long = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(said, ("scope", "field", "kind", "category"))], (F.lit(0).cast("long") if n is None else F.col(f"n{i}")).alias("n")) for i, (*said, n) in enumerate(rows)])
     return wide.select(F.inline(long))
-
-
-__all__ = ["IDENTICAL", "LEFT_ONLY", "RIGHT_ONLY", "counts", "count_rows", "level_array"]

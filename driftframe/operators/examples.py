@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from driftframe.config import Path
 from driftframe.functions.equality import has_map
 from driftframe.functions.status import CATEGORIES, DIFFERENT, LEFT_ONLY, MULTIPLE, RIGHT_ONLY, Level, OneSidedScope
-from driftframe.operators.counts import level_array
 from driftframe.operators.project import key as key_struct
 from driftframe.operators.project import keyed_rows
 from driftframe.plans.plan import ARRAY, LEFT, RIGHT, STRUCT, Field, Plan, ordered
@@ -162,6 +161,3 @@ def _multiple(judged: DataFrame, plan: Plan, left: DataFrame, right: DataFrame,
     both = sampled.join(sides[0], "key", "left").join(sides[1], "key", "left")
     listed = lambda side: F.concat(F.lit('{"v":['), F.coalesce(F.array_join(side, ","), F.lit("")), F.lit("]}"))
     return both.select(F.lit("").alias("scope"), F.lit("").alias("field"), F.lit("multiple_matches").alias("category"), root_key.alias("key"), listed(LEFT).alias("left"), listed(RIGHT).alias("right"))
-
-
-__all__ = ["examples", "level_array"]

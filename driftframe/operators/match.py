@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.functions.status import DIFFERENT, IDENTICAL, LEFT_ONLY, MULTIPLE, RIGHT_ONLY, Level, array_flags, flags_of, leaves, statuses, verdict
+from driftframe.functions.status import DIFFERENT, LEFT_ONLY, MULTIPLE, RIGHT_ONLY, Level, array_flags, flags_of, leaves, statuses, verdict
 from driftframe.operators.project import keyed_rows
 from driftframe.plans.plan import LEFT, RIGHT, Plan
 
@@ -49,6 +49,3 @@ def kind_of(flags: Column) -> Column:
     elements make it different."""
     own = flags.bitwiseAND(DIFFERENT | LEFT_ONLY | RIGHT_ONLY)
     return F.when(own.bitwiseAND(DIFFERENT) != 0, DIFFERENT).otherwise(own)
-
-
-__all__ = ["IDENTICAL", "KINDS", "judged", "kind_of", "matched", "reduced"]
