@@ -70,6 +70,17 @@ def test_group_of_near_copies_and_chains(make):
     same(make(rows), rows)
 
 
+def test_shuffled_joins_change_nothing(spark, make, odd_rows, monkeypatch):
+    """Beyond the bound of its broadcasts."""
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [r for r in odd_rows if not (r[0] == 4 and r[1].startswith("another"))]
+        same(make(rows), rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(3)
     errors = []
