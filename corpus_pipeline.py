@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from driftframe.durable import cut, release, ship
 from driftframe.llm import decontaminate, langid, mixing, near_dedup, secret_scan
 
+#: Near copies share four fifths of their five-word shingles; op6_near_dedup has values of its own.
+SHINGLE, LEAST = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go."""
@@ -18,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, SHINGLE, LEAST)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
-A document's set holds its distinct shingles of ``SHINGLE`` words. SuperMinHash deals each element a random
+A document's set holds its distinct shingles of ``shingle`` words; two documents are linked if their sets' similarity is at least
+``least`` hundredths. SuperMinHash deals each element a random
 permutation of the signature's slots: in round j the element bids j plus a random fraction at the j-th slot of its
 permutation, and a slot keeps its lowest bid. Bids of one element are spread over the slots without repeats, which
 lowers the variance against independent hashes, and a document is done in the first round that leaves no slot empty.
-With ``BANDS`` bands of ``ROWS`` slots, two sets at similarity 0.85 share no band with a chance of 4e-7.
+Bands have ``ROWS`` slots. There are as many as it takes for two sets just at the bound to share no band with a chance of at most
+``MISS``: 25 at similarity 0.85, 37 at 0.8.
 
 How links are found without comparing all pairs of a group:
 
@@ -31,7 +33,9 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +46,25 @@ from driftframe.durable import cut, release
 from driftframe.llm.blocks import U64, blocks, mix
 from driftframe.llm.components import components, joined
 
+#: Fixed values of op6_near_dedup. Other callers name their own.
 SHINGLE, LEAST = 3, 85
-BANDS, ROWS = 25, 5
+ROWS, MISS = 5, 5e-7
+
+
+def bands_for(least: int) -> int:
+    """The least number of bands that miss a pair of similarity ``least / 100`` with a chance of at most ``MISS``."""
+    return math.ceil(math.log(MISS) / math.log1p(-((least / 100) ** ROWS))) if least < 100 else 1
+
+
+BANDS = bands_for(LEAST)
 SLOTS = BANDS * ROWS
 MAX_BROADCAST = 2_000_000  # rows of one or two numbers
 _EMPTY = np.iinfo(np.uint64).max
-_BAND_KEYS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * U64(2) + U64(1)
+
+
+@lru_cache
+def _band_keys(bands: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (bands, ROWS), dtype=np.uint64) * U64(2) + U64(1)
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -100,8 +117,9 @@ def signatures(elements: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> n
 
 
 def band_hashes(bids: np.ndarray) -> np.ndarray:
-    parts = mix(bids.reshape(len(bids), BANDS, ROWS)) * _BAND_KEYS[None]
-    return mix(parts.sum(2, dtype=U64) + np.arange(BANDS, dtype=U64)[None] * U64(0x9E3779B97F4A7C15))
+    bands = bids.shape[1] // ROWS
+    parts = mix(bids.reshape(len(bids), bands, ROWS)) * _band_keys(bands)[None]
+    return mix(parts.sum(2, dtype=U64) + np.arange(bands, dtype=U64)[None] * U64(0x9E3779B97F4A7C15))
 
 
 def _names(elements: np.ndarray, first: np.ndarray) -> list[bytes | None]:
@@ -109,20 +127,26 @@ def _names(elements: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, elements, first in shingle_sets(batch.column("text")):
-            bands = band_hashes(signatures(elements, first)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first), dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.record_batch([batch.column("doc_id")[rows], batch.column("text_key")[rows], pa.array(np.diff(first)), pa.array(_names(elements, first), pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "node", "bands"])
+def _signer(shingle: int, bands: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, elements, first in shingle_sets(batch.column("text"), shingle):
+                hashes = band_hashes(signatures(elements, first, bands * ROWS)).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first), dtype=np.int32) * bands), pa.array(hashes.ravel()))
+                yield pa.record_batch([batch.column("doc_id")[rows], batch.column("text_key")[rows], pa.array(np.diff(first)), pa.array(_names(elements, first), pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "node", "bands"])
+
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, elements, first in shingle_sets(batch.column("text")):
-            raw = elements.tobytes()
-            sets = [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.record_batch([pa.array(_names(elements, first), pa.binary()), pa.array(sets, pa.binary())], ["node", "elements"])
+def _sets(shingle: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, elements, first in shingle_sets(batch.column("text"), shingle):
+                raw = elements.tobytes()
+                sets = [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.record_batch([pa.array(_names(elements, first), pa.binary()), pa.array(sets, pa.binary())], ["node", "elements"])
+
+    return run
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> tuple[bool, np.ndarray]:
@@ -138,29 +162,32 @@ def prefix(elements: np.ndarray, in_hub: np.ndarray, least: int = LEAST) -> np.n
     return np.concatenate([elements[~in_hub], elements[in_hub]])[:size]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hubs, nodes = batch.column("hub_elements"), batch.column("node_elements")
-        out: dict[str, list] = {c: [] for c in ("linked", "n", "n_hub", "head", "added", "missing")}
-        for h, x in zip(hubs, nodes):
-            h, x = np.frombuffer(h.as_buffer(), U64), np.frombuffer(x.as_buffer(), U64)
-            yes, shared = linked(h, x)
-            out["linked"].append(yes)
-            out["n"].append(len(x))
-            out["n_hub"].append(len(h))
-            out["head"].append(prefix(x, shared).view(np.int64))
-            out["added"].append(x[~shared].view(np.int64))
-            out["missing"].append(np.setdiff1d(h, x[shared], assume_unique=True).view(np.int64))
-        names = ["hub", "hub_rep", "node", "node_rep"]
-        yield pa.record_batch([*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(out.values(), _KINDS))], [*names, *out])
+def _comparer(least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hubs, nodes = batch.column("hub_elements"), batch.column("node_elements")
+            out: dict[str, list] = {c: [] for c in ("linked", "n", "n_hub", "head", "added", "missing")}
+            for h, x in zip(hubs, nodes):
+                h, x = np.frombuffer(h.as_buffer(), U64), np.frombuffer(x.as_buffer(), U64)
+                yes, shared = linked(h, x, least)
+                out["linked"].append(yes)
+                out["n"].append(len(x))
+                out["n_hub"].append(len(h))
+                out["head"].append(prefix(x, shared, least).view(np.int64))
+                out["added"].append(x[~shared].view(np.int64))
+                out["missing"].append(np.setdiff1d(h, x[shared], assume_unique=True).view(np.int64))
+            names = ["hub", "hub_rep", "node", "node_rep"]
+            yield pa.record_batch([*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(out.values(), _KINDS))], [*names, *out])
+
+    return run
 
 
 _KINDS = (pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     side = lambda to: sets.select(F.col("id").alias(to), F.col("rep").alias(f"{to}_rep"), F.col("elements").alias(f"{to}_elements"))
     both = pairs.join(side("node"), "node").join(side("hub"), "hub")
     out = "hub long, hub_rep long, node long, node_rep long, linked boolean, n long, n_hub long, head array<long>, added array<long>, missing array<long>"
-    return cut(both.select("hub", "hub_rep", "node", "node_rep", "hub_elements", "node_elements").mapInArrow(_compare, out))
+    return cut(both.select("hub", "hub_rep", "node", "node_rep", "hub_elements", "node_elements").mapInArrow(_comparer(least), out))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -176,11 +203,11 @@ def _labelled(rows: DataFrame, labels: DataFrame, rep: str, name: str) -> DataFr
     return rows.join(labels.select(F.col("a").alias(rep), F.col("b").alias(name)), rep, "left").withColumn(name, F.coalesce(name, rep))
 
 
-def group(docs: DataFrame) -> DataFrame:
+def group(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``docs(doc_id long, text)`` to ``(doc_id, text_key, n_shingles, component_id, kept)``; ``text_key`` is a hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    signed = cut(keyed.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"))
+    signed = cut(keyed.mapInArrow(_signer(shingle, bands_for(least)), "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"))
     known = signed.filter("node is not null and doc_id is not null")
     classes = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
 
@@ -195,10 +222,10 @@ def group(docs: DataFrame) -> DataFrame:
     used = pairs.select(F.col("hub").alias("id")).unionByName(pairs.select(F.col("node").alias("id"))).distinct()
     wanted = cut(classes.select("id", "node", "rep").join(used, "id"))
     ids = _small(cut(wanted.select(F.col("rep").alias("doc_id")).distinct()))  # if not broadcast, the texts are shuffled
-    named = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "node binary, elements binary")
+    named = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node binary, elements binary")
     sets = cut(named.filter("node is not null").groupBy("node").agg(F.first("elements").alias("elements")).join(wanted, "node").select("id", "rep", "elements"))
     release(docs.sparkSession)  # of the texts and sets
-    compared = _compared(pairs, sets)
+    compared = _compared(pairs, sets, least)
     release(docs.sparkSession)
     links = _edges(compared)
     labels = components(links)
@@ -207,13 +234,13 @@ def group(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("common", F.col("n") - F.size("added")).withColumn("apart", F.col("own") != F.col("hubs"))
     heads = lambda rows, to: rows.select("hub", F.posexplode("head").alias("at", "element"), "node", "n", "common", "own", "apart").select("hub", "element", *[F.col(c).alias(f"{to}_{c}") for c in ("at", "node", "n", "common", "own", "apart")])
     apart = heads(placed.filter("apart"), "y").join(heads(placed, "x"), ["hub", "element"])
-    due = f"{LEAST} * (x_n + y_n)"  # of 100 + LEAST parts of the elements that both must share
+    due = f"{least} * (x_n + y_n)"  # of 100 + least parts of the elements that both must share
     most = ("x_n - x_at", "y_n - y_at", "least(x_common, y_common) + least(x_n - x_common, y_n - y_common)")
-    apart = apart.filter(" and ".join(["x_own != y_own", "(not x_apart or x_node < y_node)", *(f"{100 + LEAST} * ({m}) >= {due}" for m in most)])).select("hub", "x_node", "y_node").distinct()
+    apart = apart.filter(" and ".join(["x_own != y_own", "(not x_apart or x_node < y_node)", *(f"{100 + least} * ({m}) >= {due}" for m in most)])).select("hub", "x_node", "y_node").distinct()
     side = lambda to: compared.select("hub", "n_hub", *[F.col(c).alias(f"{to}_{c}") for c in ("node", "node_rep", "n", "added", "missing")])
     apart = apart.join(side("x"), ["hub", "x_node"]).join(side("y").drop("n_hub"), ["hub", "y_node"])
     both = "n_hub - size(array_union(x_missing, y_missing)) + size(array_intersect(x_added, y_added))"
-    late = cut(apart.filter(f"100 * ({both}) >= {LEAST} * (x_n + y_n - ({both}))").select(F.col("x_node_rep").alias("a"), F.col("y_node_rep").alias("b")))
+    late = cut(apart.filter(f"100 * ({both}) >= {least} * (x_n + y_n - ({both}))").select(F.col("x_node_rep").alias("a"), F.col("y_node_rep").alias("b")))
     if not late.isEmpty():
         labels = joined(labels, late)
 
@@ -223,9 +250,9 @@ def group(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``docs`` with one row of each group, all columns. Of rows equal in doc_id and text the first one found stays."""
-    kept = group(docs).filter("kept").select(F.struct(F.col("doc_id"), F.col("text_key")).alias("_row")).distinct()
+    kept = group(docs, shingle, least).filter("kept").select(F.struct(F.col("doc_id"), F.col("text_key")).alias("_row")).distinct()
     own = docs.withColumn("_row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")))
     nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
     return own.join(kept, "_row", "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_row", "_nth")

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from test_near_dedup import brute
 
@@ -47,3 +49,37 @@ def test_odd_documents(spark, make, odd_rows):
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.cut(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def kept_by_brute_force(rows, size=5, least=80):
+    """The smallest id of each group of texts whose sets of ``size`` words are similar enough."""
+    split = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in (split(t) for _, t, *_ in rows)]
+    kept = [r[0] for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                low, high = sorted((kept[i], kept[j]))
+                kept = [low if k == high else k for k in kept]
+    return set(kept)
+
+
+def test_near_copies_share_four_fifths_of_five_words(spark, make):
+    rng = random.Random(51)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    block, scattered, base = fresh(200), fresh(200), fresh(180)
+    changed = list(scattered)
+    for at in (20, 60, 100, 140, 180):
+        changed[at] = "changed"
+    rows = [(1, block), (2, block + fresh(42)), (3, scattered), (4, changed), (5, base)]
+    for i in range(40):  # similarities on both sides of the bound
+        copy = list(base)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(len(copy))] = "changed"
+        rows.append((100 + i, copy + fresh(rng.randint(0, 30))))
+    rows = [(i, " ".join(w), "en", "s") for i, w in rows]
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, make(rows), SF).collect()}
+    assert got == kept_by_brute_force(rows) and {1, 3, 4} <= got and 2 not in got
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert got == kept_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
