@@ -6,14 +6,15 @@ nearest, and visits leaves in that order. How many it visits is calibrated: leaf
 sample find ``RECALL`` of their true neighbours, as brute force over the sample tells them.
 
 Each visited leaf's vectors meet the queries that visit it in blocks of bounded size on both sides, whatever the size of a
-leaf; a block returns at most ``k`` rows a query. Distances are computed in double precision on the original vectors.
-Of vectors that are equal in every component, only the ``k + 1`` with the smallest ids can ever be among ``k`` neighbours
-(ties go to the smaller id), so the others are counted as found and not carried along; that is exact.
+leaf; a block returns at most ``k`` ids a query, each at its smallest distance. Distances are computed in double precision on the original vectors.
+Repeated rows are dropped first. Of vectors that are equal in every component, only the ``k + 1`` with the smallest ids can
+then ever be among ``k`` neighbours (ties go to the smaller id), so the others are counted as found and not carried along;
+that is exact.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a value that is not finite take no part, nor do rows
 without vec_id, nor vectors of another length than the commonest (the longer one in a tie); a query among few vectors gets
-all others; an empty table gives an empty result; rows of one vec_id with different vectors are different candidates, and
-none is returned for its own id; other columns are not read.
+all others; an empty table gives an empty result; repeated rows count once; rows of one vec_id with different vectors are
+different candidates, of which a query gets the nearest, and none is returned for its own id; other columns are not read.
 """
 
 from __future__ import annotations
@@ -96,25 +97,33 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def nearest(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its ``k`` nearest rows of another id, as (query row, row, distance)."""
+    """For each query its ``k`` nearest other ids, each by its nearest row, as (query row, row, distance)."""
     rough = _squares(q, x)
     rough[q_id[:, None] == x_id[None]] = np.inf
-    bound = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    by_id = np.argsort(x_id, kind="stable")
+    begin = np.flatnonzero(np.diff(x_id[by_id], prepend=x_id[by_id[:1]] - 1))
+    least = np.minimum.reduceat(rough[:, by_id], begin, axis=1) if len(begin) < len(x) else rough
+    last = min(k, len(begin)) - 1
+    bound = np.partition(least, last, axis=1)[:, last]
     a, b = np.nonzero((rough <= (bound + 1e-9 * (1 + np.abs(np.where(np.isinf(bound), 0, bound))))[:, None]) & np.isfinite(rough))
     exact = np.sqrt(((q[a] - x[b]) ** 2).sum(1))
     order = np.lexsort((x_id[b], exact, a))
     a, b, exact = a[order], b[order], exact[order]
+    if len(begin) < len(x):
+        _, once = np.unique(np.stack([a, x_id[b]], 1), axis=0, return_index=True)
+        once.sort()
+        a, b, exact = a[once], b[once], exact[once]
     keep = np.arange(len(a)) - np.searchsorted(a, a) < k
     return a[keep], b[keep], exact[keep]
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int = K, recall: float = RECALL, probes: int = PROBES) -> int:
+def calibrate(tree: Tree, x: np.ndarray, k: int = K, recall: float = RECALL, probes: int = PROBES, ids: np.ndarray | None = None) -> int:
     """The least number of leaf visits (widened by a tenth at a time) at which the sample's probes find ``recall`` of their
     neighbours in the sample."""
     probes = min(probes, len(x))
     if probes == 0:
         return 1
-    ids = np.arange(len(x))
+    ids = np.arange(len(x)) if ids is None else ids
     rows = np.linspace(0, len(x) - 1, probes).astype(int)
     a, b, _ = nearest(x[rows], ids[rows], x, ids, k)
     leaf = tree.assign(x)
@@ -177,17 +186,18 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 def search(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """``table(vec_id, embedding)`` to ``(query_id, rank, vec_id, score)`` for the rows whose id is divisible by ``every``."""
     spark = table.sparkSession
-    rows = valid_vectors(table)
+    rows = valid_vectors(table).distinct()
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     rows_kept = cut(rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth"))
     picked = smallest(rows_kept, sample, ["vec_id", "v"], 29).collect()
     points = np.array([r["v"] for r in picked], float) if picked else np.zeros((0, 1))
     tree = Tree()
     tree.grow(points, points.mean(0) if len(points) else np.zeros(1), np.random.Generator(np.random.PCG64(41)))
-    shared = spark.sparkContext.broadcast((tree, calibrate(tree, points, k, recall)))  # at most as large as the sample
+    ids = np.array([r["vec_id"] for r in picked], np.int64)
+    shared = spark.sparkContext.broadcast((tree, calibrate(tree, points, k, recall, ids=ids)))  # at most as large as the sample
 
     members = cut(rows_kept.mapInArrow(_assigner(shared), "leaf long, vec_id long, v array<double>"))
-    asked = rows.filter(F.col("vec_id") % every == 0).distinct()
+    asked = rows.filter(F.col("vec_id") % every == 0)
     visits = cut(asked.mapInArrow(_walker(shared), "leaf long, query_id long, q array<double>"))
     counts = lambda t, name, size: t.groupBy("leaf").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     parts = cut(counts(members, "m_parts", MEMBERS).join(counts(visits, "q_parts", QUERIES), "leaf"))
@@ -197,5 +207,5 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, recall: float = REC
     key = ["leaf", "q_part", "m_part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searcher(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # rows that repeat an id count once
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id with several vectors counts once
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

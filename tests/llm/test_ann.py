@@ -74,3 +74,40 @@ def test_walk_visits_nearer_leaves_first():
     assert len(walk) == len(set(walk)) == tree.n_leaves and set(tree.assign(x)) <= set(walk)
     low, high = ann.calibrate(tree, x, recall=0.5), ann.calibrate(tree, x, recall=0.99)
     assert 1 <= low < high <= tree.n_leaves
+
+
+def nearest_ids(ids, x, k, every):
+    out = {}
+    for i in sorted({i for i in ids if i % every == 0}):
+        near = {}
+        for a in np.flatnonzero(ids == i):
+            for j, d in zip(ids, np.sqrt(((x - x[a]) ** 2).sum(1))):
+                if j != i:
+                    near[j] = min(near.get(j, np.inf), d)
+        out[i] = sorted(near.items(), key=lambda n: (n[1], n[0]))[:k]
+    return out
+
+
+def test_repeated_rows_and_ids_take_one_place(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 4)).astype(np.float32).astype(float)
+    x[41:50] = x[40]
+    ids = np.arange(60)
+    twice = (np.concatenate([ids, ids]), np.concatenate([x, x]))  # every row twice
+    often = (np.concatenate([ids, np.full(15, 40)]), np.concatenate([x, x[[40] * 15]]))  # one row of a repeated vector 16 times
+    other = (np.concatenate([ids, ids[1:20], ids[1:20]]), np.concatenate([x, x[1:20] + 0.01, x[1:20] - 0.01]).astype(np.float32).astype(float))  # ids with several vectors
+    for i, v in (twice, often, other):
+        assert found(ann.search(frame(spark, i, v), every=10)) == nearest_ids(i, v, 10, 10)
+
+
+def test_nearest_keeps_k_ids():
+    rng = np.random.default_rng(13)
+    x, ids = rng.standard_normal((400, 6)), rng.integers(0, 40, 400)
+    q, q_id = x[:50], ids[:50]
+    a, b, d = ann.nearest(q, q_id, x, ids, 10)
+    for i in range(50):
+        near = {}
+        for j, dist in zip(ids, np.sqrt(((x - q[i]) ** 2).sum(1))):
+            if j != q_id[i]:
+                near[j] = min(near.get(j, np.inf), dist)
+        assert list(zip(ids[b[a == i]], d[a == i])) == sorted(near.items(), key=lambda n: (n[1], n[0]))[:10]
