@@ -64,6 +64,16 @@ def _compiled(notices: tuple[tuple[str, str], ...]) -> tuple[ahocorasick.Automat
     return automaton, [regex.compile(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={errors(n)}}}") for n, _ in notices]
 
 
+def _occurrences(pattern: regex.Pattern, least: int, plain: str, a: int, b: int) -> Iterator[regex.Match]:
+    """The best match between ``a`` and ``b``, then those before and after it. None is shorter than ``least``."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if b - a >= least and (m := pattern.search(plain, a, b)):
+            yield m
+            todo += [(a, m.start()), (m.end(), b)]
+
+
 def find_notices(plain: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, int, int]]:
     """``(notice, start, end, edits)`` in characters of the reduced text, non-overlapping for each notice."""
     automaton, patterns = _compiled(notices)
@@ -80,7 +90,8 @@ def find_notices(plain: str, notices: tuple[tuple[str, str], ...] = NOTICES) ->
     out = []
     for i, of in windows.items():
         for a, b in of:
-            out += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in patterns[i].finditer(plain, a, min(b, len(plain)))]
+            least = len(notices[i][0]) - errors(notices[i][0])
+            out += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in _occurrences(patterns[i], least, plain, a, min(b, len(plain)))]
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 

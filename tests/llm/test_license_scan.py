@@ -61,6 +61,13 @@ def test_every_occurrence_within_the_bound_has_a_seed():
             assert any(license_scan.NOTICES[i][1] == label for i, *_ in found), "".join(chars)
 
 
+def test_worse_occurrences_before_and_after_a_better_one_are_found():
+    worse, best = "relesed undr the mit license", "released under the mit license"
+    spans = lambda *said: [f[1:] for f in license_scan.find_notices(" ".join(said), license_scan.NOTICES[:1])]
+    assert spans(worse, best) == [(0, 28, 2), (29, 59, 0)]
+    assert spans(worse, worse, best, worse) == [(0, 28, 2), (29, 57, 2), (58, 88, 0), (89, 117, 2)]
+
+
 def test_clean_text_has_no_label():
     out = license_scan.scan_text(b"nothing of the kind is said here under the general heading of version 2")
     assert out["labels"] == "" and out["score"] == 0
