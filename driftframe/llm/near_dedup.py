@@ -13,19 +13,24 @@ How links are found without comparing all pairs of a group:
 * Documents with equal sets form one class; only classes go on.
 * In each bucket of a band every class is compared with one hub, the class that shares most with others. In a group
   of copies of one original that is the original or a copy close to it, so nearly all links are found here.
-* A member whose component differs from its hub's could still be linked to another member. For those an exact
-  prefix filter applies: under any fixed order of elements, the first one that two sets share has at least as many
-  elements from it on, in either set, as the two must share. The order taken puts elements that the hub lacks first:
-  what makes a member differ from its hub is rare among the others. What both share with the hub bounds what they share
-  with each other. The pairs left are compared exactly by their differences from the hub, which are much smaller than
-  the sets: two sets share what the hub has and neither lacks, and what both have beyond it.
+* What is left are members whose component is not their hub's. A member is now known by its differences from the hub,
+  the elements it adds and those it lacks. With H the hub's size, ``g = 100 * lacking + least * added`` and D the
+  differences that two members have in common, they are linked if and only if
+  ``(100 + least) * D >= g_x + g_y - (100 - least) * H``. A member apart from the hub has ``g > (100 - least) * H``, so
+  it can be linked only with members that share differences with it, and never by what all copies have in common.
+* Each member apart is first compared, for each of its differences, with the member closest to the hub that has it too.
+  That is one pair a difference at most, whatever the size of the group, and it joins most of what belongs together.
+* For what is still apart an exact prefix filter on differences, the rarest of the group first, finds the pairs that can
+  share enough of them; their places in the order and two 64-bit bitmaps of the differences bound D from above inside
+  the join; the pairs left are compared by their differences.
 
 So every pair of classes that shares a bucket is either in one component already, compared, or ruled out exactly.
 Buckets, hubs and copies may be large: counts and hubs are partial aggregates, and the joins carry plain keys that AQE
-can split.
+can split. Where copies differ by what they lack, differences coincide by chance, and the pairs that the join looks at
+(not those it puts out) can still grow with the square of a group; they cost a few comparisons of numbers each.
 
 Defined results: a null, empty or wordless text has an empty set, is linked with nothing and kept; fewer words than a
-shingle make one shingle; repeated rows are copies; rows of one doc_id with different texts are different documents;
+shingle make one shingle; repeated rows are copies; rows of one doc_id with different texts are different documents (a component is named by its smallest doc_id);
 rows without doc_id join their class but name no component, and are kept only if no row of it has an id; an empty table
 gives an empty result; other columns are not read.
 """
@@ -45,6 +50,7 @@ from pyspark.sql import functions as F
 from driftframe.durable import cut, release
 from driftframe.llm.blocks import U64, blocks, mix
 from driftframe.llm.components import components, joined
+from driftframe.llm.rows import row_hash
 
 #: Fixed values of op6_near_dedup. Other callers name their own.
 SHINGLE, LEAST = 3, 85
@@ -58,7 +64,7 @@ def bands_for(least: int) -> int:
 
 BANDS = bands_for(LEAST)
 SLOTS = BANDS * ROWS
-MAX_BROADCAST = 2_000_000  # rows of one or two numbers
+MAX_BROADCAST = 32_000_000  # bytes of numbers
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -157,50 +163,93 @@ def linked(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> tuple[bool, np.n
     return 100 * both >= least * (len(a) + len(b) - both), shared
 
 
-def prefix(elements: np.ndarray, in_hub: np.ndarray, least: int = LEAST) -> np.ndarray:
-    size = len(elements) - -(-least * len(elements) // 100) + 1
-    return np.concatenate([elements[~in_hub], elements[in_hub]])[:size]
+def _bitmap(differences: np.ndarray) -> np.ndarray:
+    bits = np.zeros(128, np.uint8)
+    bits[(differences >> U64(57)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def _comparer(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hubs, nodes = batch.column("hub_elements"), batch.column("node_elements")
-            out: dict[str, list] = {c: [] for c in ("linked", "n", "n_hub", "head", "added", "missing")}
+            out: dict[str, list] = {c: [] for c in ("linked", "g", "bound", "differences", "bits0", "bits1")}
             for h, x in zip(hubs, nodes):
                 h, x = np.frombuffer(h.as_buffer(), U64), np.frombuffer(x.as_buffer(), U64)
                 yes, shared = linked(h, x, least)
-                out["linked"].append(yes)
-                out["n"].append(len(x))
-                out["n_hub"].append(len(h))
-                out["head"].append(prefix(x, shared, least).view(np.int64))
-                out["added"].append(x[~shared].view(np.int64))
-                out["missing"].append(np.setdiff1d(h, x[shared], assume_unique=True).view(np.int64))
-            names = ["hub", "hub_rep", "node", "node_rep"]
+                added, missing = x[~shared], np.setdiff1d(h, x[shared], assume_unique=True)
+                differences = np.concatenate([mix(added), mix(missing ^ _MISSING)])
+                bits = _bitmap(differences)
+                for c, v in zip(out, (yes, 100 * len(missing) + least * len(added), (100 - least) * len(h), differences.view(np.int64), bits[0], bits[1])):
+                    out[c].append(v)
+            names = ["hub", "node"]
             yield pa.record_batch([*(batch.column(c) for c in names), *(pa.array(v, t) for v, t in zip(out.values(), _KINDS))], [*names, *out])
 
     return run
 
 
-_KINDS = (pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+_MISSING = U64(0xD1B54A32D192ED03)
+_KINDS = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    side = lambda to: sets.select(F.col("id").alias(to), F.col("rep").alias(f"{to}_rep"), F.col("elements").alias(f"{to}_elements"))
+    side = lambda to: sets.select(F.col("id").alias(to), F.col("elements").alias(f"{to}_elements"))
     both = pairs.join(side("node"), "node").join(side("hub"), "hub")
-    out = "hub long, hub_rep long, node long, node_rep long, linked boolean, n long, n_hub long, head array<long>, added array<long>, missing array<long>"
-    return cut(both.select("hub", "hub_rep", "node", "node_rep", "hub_elements", "node_elements").mapInArrow(_comparer(least), out))
+    out = "hub long, node long, linked boolean, g long, bound long, differences array<long>, bits0 long, bits1 long"
+    return cut(both.select("hub", "node", "hub_elements", "node_elements").mapInArrow(_comparer(least), out))
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+    """A written table of numbers, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= MAX_BROADCAST else df
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFrame:
+    return rows.join(labels.select(F.col("a").alias(of), F.col("b").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
+
+
+def _placed(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their component and their hub's, of hubs that have members apart."""
+    rows = _labelled(_labelled(compared, labels, "node", "own"), labels, "hub", "hubs").withColumn("apart", F.col("own") != F.col("hubs")).drop("hubs", "linked")
+    return cut(rows.join(rows.filter("apart").select("hub").distinct(), "hub", "left_semi"))
+
+
+def _shared(pairs: DataFrame, placed: DataFrame, least: int) -> DataFrame:
+    """The links among ``pairs(hub, x, y)``, by the members' differences from the hub."""
+    side = lambda to: placed.select("hub", "bound", *[F.col(c).alias(f"{to}_{c}") for c in ("node", "g", "differences")]).withColumnRenamed(f"{to}_node", to)
+    both = pairs.join(side("x"), ["hub", "x"]).join(side("y").drop("bound"), ["hub", "y"])
+    n = F.size(F.array_intersect("x_differences", "y_differences"))
+    return both.filter(n * (100 + least) >= F.col("x_g") + F.col("y_g") - F.col("bound")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _closest(placed: DataFrame) -> DataFrame:
+    """``(hub, element)``: how many members have a difference, and the one of them that is closest to the hub."""
+    each = placed.select("hub", F.explode("differences").alias("element"), F.struct("g", "node").alias("of"))
+    return cut(each.groupBy("hub", "element").agg(F.count("*").alias("n"), F.min("of").alias("closest")).select("hub", "element", "n", F.col("closest.node").alias("closest")))
+
+
+def _met_by_closest(placed: DataFrame, elements: DataFrame) -> DataFrame:
+    mine = placed.filter("apart").select("hub", F.col("node").alias("y"), F.explode("differences").alias("element"))
+    return mine.join(elements, ["hub", "element"]).filter("closest != y").select("hub", F.col("closest").alias("x"), "y").distinct()
 
 
-def _edges(compared: DataFrame) -> DataFrame:
-    return compared.filter("linked").select(F.col("hub_rep").alias("a"), F.col("node_rep").alias("b"))
+def residual(placed: DataFrame, elements: DataFrame, least: int) -> DataFrame:
+    """``(hub, x, y)``: the pairs of different components, ``y`` apart from the hub, that may share enough differences."""
+    each = placed.select("hub", "node", F.explode("differences").alias("element")).join(elements.select("hub", "element", "n"), ["hub", "element"])
+    order = each.groupBy("hub", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "element"))), lambda e: e["element"]).alias("order"))
+    due = 100 + least
+    rows = placed.drop("differences").join(order, ["hub", "node"]).withColumn("size", F.size("order"))
+    met, meets = F.floor(F.col("g") / due) + 1, F.ceil((F.col("g") - F.col("bound")) / due)
+    head = lambda to, of, share: of.select("hub", F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.col("size") - share + 1).cast("int"))).alias("at", "element"), *_MEMBER).select("hub", "element", *[F.col(c).alias(f"{to}_{c}") for c in ("at", *_MEMBER)])
+    y = head("y", rows.filter("apart"), meets)
+    both = y.join(head("x", rows, met).drop("x_bound"), ["hub", "element"])
+    need = f"(x_g + y_g - y_bound) <= {due} * "
+    differing = "bit_count(x_bits0 ^ y_bits0) + bit_count(x_bits1 ^ y_bits1)"
+    fit = both.filter(f"x_own != y_own and (not x_apart or x_node < y_node) and {need} least(x_size - x_at, y_size - y_at) and 2 * {need} (x_size + y_size - ({differing}))")
+    return fit.select("hub", F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, rep: str, name: str) -> DataFrame:
-    return rows.join(labels.select(F.col("a").alias(rep), F.col("b").alias(name)), rep, "left").withColumn(name, F.coalesce(name, rep))
+_MEMBER = ("node", "own", "apart", "g", "bound", "size", "bits0", "bits1")
 
 
 def group(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -223,36 +272,34 @@ def group(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFr
     wanted = cut(classes.select("id", "node", "rep").join(used, "id"))
     ids = _small(cut(wanted.select(F.col("rep").alias("doc_id")).distinct()))  # if not broadcast, the texts are shuffled
     named = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node binary, elements binary")
-    sets = cut(named.filter("node is not null").groupBy("node").agg(F.first("elements").alias("elements")).join(wanted, "node").select("id", "rep", "elements"))
+    sets = cut(named.filter("node is not null").groupBy("node").agg(F.first("elements").alias("elements")).join(wanted, "node").select("id", "elements"))
     release(docs.sparkSession)  # of the texts and sets
     compared = _compared(pairs, sets, least)
     release(docs.sparkSession)
-    links = _edges(compared)
-    labels = components(links)
-
-    placed = _labelled(_labelled(compared, labels, "node_rep", "own"), labels, "hub_rep", "hubs")
-    placed = placed.withColumn("common", F.col("n") - F.size("added")).withColumn("apart", F.col("own") != F.col("hubs"))
-    heads = lambda rows, to: rows.select("hub", F.posexplode("head").alias("at", "element"), "node", "n", "common", "own", "apart").select("hub", "element", *[F.col(c).alias(f"{to}_{c}") for c in ("at", "node", "n", "common", "own", "apart")])
-    apart = heads(placed.filter("apart"), "y").join(heads(placed, "x"), ["hub", "element"])
-    due = f"{least} * (x_n + y_n)"  # of 100 + least parts of the elements that both must share
-    most = ("x_n - x_at", "y_n - y_at", "least(x_common, y_common) + least(x_n - x_common, y_n - y_common)")
-    apart = apart.filter(" and ".join(["x_own != y_own", "(not x_apart or x_node < y_node)", *(f"{100 + least} * ({m}) >= {due}" for m in most)])).select("hub", "x_node", "y_node").distinct()
-    side = lambda to: compared.select("hub", "n_hub", *[F.col(c).alias(f"{to}_{c}") for c in ("node", "node_rep", "n", "added", "missing")])
-    apart = apart.join(side("x"), ["hub", "x_node"]).join(side("y").drop("n_hub"), ["hub", "y_node"])
-    both = "n_hub - size(array_union(x_missing, y_missing)) + size(array_intersect(x_added, y_added))"
-    late = cut(apart.filter(f"100 * ({both}) >= {least} * (x_n + y_n - ({both}))").select(F.col("x_node_rep").alias("a"), F.col("y_node_rep").alias("b")))
-    if not late.isEmpty():
-        labels = joined(labels, late)
-
-    component = _labelled(classes.select("node", "rep"), labels, "rep", "component_id").select("node", "component_id")
+    labels = components(compared.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+
+    placed = _placed(compared, labels)
+    if not placed.isEmpty():
+        elements = _closest(placed)
+        labels = joined(labels, cut(_shared(_met_by_closest(placed, elements), placed, least)))
+        placed = _placed(placed.drop("own", "apart"), labels)
+        late = cut(_shared(residual(placed, elements, least), placed, least))
+        if not late.isEmpty():
+            labels = joined(labels, late)
+
+    ends = labels.unionByName(labels.select(F.col("b").alias("a"), "b").distinct()).join(classes.select(F.col("id").alias("a"), "node", "rep"), "a")
+    named_by = ends.groupBy("b").agg(F.min("rep").alias("component_id"))
+    component = cut(ends.join(named_by, "b").select("node", "component_id"))
+    component = classes.select("node", "rep").join(component, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
     component_id = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_key", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """``docs`` with one row of each group, all columns. Of rows equal in doc_id and text the first one found stays."""
+    """``docs`` with one row of each group, all columns. Of rows equal in doc_id and text that stays whose other columns come
+    first by a hash, so reruns agree."""
     kept = group(docs, shingle, least).filter("kept").select(F.struct(F.col("doc_id"), F.col("text_key")).alias("_row")).distinct()
     own = docs.withColumn("_row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")))
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(row_hash(docs)))
     return own.join(kept, "_row", "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_row", "_nth")
