@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
@@ -88,6 +89,18 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
+def runs_of(column: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """Cut a text column into runs ``(first, rows)`` of at most ``rows`` rows and about ``size`` bytes; a longer text is a run of
+    its own. What is worked out for a run together is so bounded by bytes, not by rows alone."""
+    ends = np.cumsum(pc.binary_length(strings(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(column):
+        before = ends[a - 1] if a else 0
+        b = min(a + rows, max(a + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield a, b - a
+        a = b
+
+
 def blocks(column: pa.Array, lower: bool = False, white: np.ndarray = WHITE, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut ``column`` into blocks of whole texts. ``lower``: A-Z become a-z first."""
     column = strings(column)

@@ -25,6 +25,42 @@ def test_odd_markup_takes_linear_time():
         h.parse(page)
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<div>x" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<b>" * 50_000 + "<p></p>" * 50_000, "<script>" + "</script " * 50_000, "<a " + '"x>" ' * 50_000, "<li><p>x" * 50_000, "<a>" * 50_000 + "</div>x" * 50_000],
+    ids=range(7),
+)
+def test_deep_markup_takes_linear_time_and_little_memory(page):
+    import time
+    import tracemalloc
+
+    begin = time.process_time()
+    h.parse(page)
+    assert time.process_time() - begin < 1.5
+    tracemalloc.start()
+    h.parse(page)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_all_shown_text_is_judged():
+    net = h.default_network()
+    article = "<article><h1>Areas of the world</h1><p>area is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> units</p><p>A drawing <svg><text>with words</text></svg> of its own.</p><noscript><p>Shown without scripts, and part of this article as well.</p></noscript></article>"
+    want = "Areas of the world\n\narea is x+1 units\n\nA drawing with words of its own.\n\nShown without scripts, and part of this article as well."
+    assert h.extract_pages([f"<nav><ul><li><a>Home</a></li></ul></nav>{article}<footer>all rights</footer>"], net) == [want]
+
+
+def test_a_menu_twenty_levels_deep_is_a_menu():
+    net = h.default_network()
+    body = "<article><h1>Title of it</h1><p>The text of this page is long enough to be read by all.</p></article>"
+    want = "Title of it\n\nThe text of this page is long enough to be read by all."
+    deep = lambda inner: "<div>" * 20 + inner + "</div>" * 20
+    items = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+    for page in (f"<nav>{deep(items)}</nav>{body}", f'<div class="menu">{deep(items)}</div>{body}', f"{body}<footer>{deep('<p>some words of the owner</p>')}</footer>", deep(f"<nav>{items}</nav>{body}")):
+        assert h.extract_pages([page], net) == [want]
+    assert len({h.parse(f"<nav>{'<div>' * n}x").path[0] for n in (3, 30, 300)}) == 1
+
+
 def test_network_gradient():
     import numpy as np
 
