@@ -67,12 +67,11 @@ def test_odd_rows(spark):
 
 def test_walk_visits_nearer_leaves_first():
     rng = np.random.default_rng(8)
-    x = rng.standard_normal((2000, 5))
-    tree = ann.Tree()
-    tree.grow(x, x.mean(0), rng)
-    walk = tree.leaves(x[3], tree.n_leaves)
+    x, ids = rng.standard_normal((2000, 5)), np.arange(2000)
+    tree = ann.Tree.grown(x, rng, 96)
+    (walk,) = tree.leaves(x[3:4], tree.n_leaves)
     assert len(walk) == len(set(walk)) == tree.n_leaves and set(tree.assign(x)) <= set(walk)
-    low, high = ann.calibrate(tree, x, recall=0.5), ann.calibrate(tree, x, recall=0.99)
+    low, high = (ann.calibrate(tree, x[::10], ids[::10], x, ids, recall=r) for r in (0.5, 0.99))
     assert 1 <= low < high <= tree.n_leaves
 
 
@@ -111,3 +110,41 @@ def test_nearest_keeps_k_ids():
             if j != q_id[i]:
                 near[j] = min(near.get(j, np.inf), dist)
         assert list(zip(ids[b[a == i]], d[a == i])) == sorted(near.items(), key=lambda n: (n[1], n[0]))[:10]
+
+
+def test_offset_far_larger_than_distances():
+    """Neighbours among vectors whose norm is 1e8 times their distances."""
+    rng = np.random.default_rng(14)
+    x, ids = 1e6 + 0.01 * rng.standard_normal((500, 16)), np.arange(500)
+    a, b, d = ann.nearest(x[:40], ids[:40], x, ids, 10)
+    want = brute(ids, x, every=1)
+    for i in range(40):
+        assert list(zip(ids[b[a == i]], d[a == i])) == want[i]
+    tree = ann.Tree.grown(x, rng, 4)
+    assert len(np.unique(tree.assign(x))) > tree.n_leaves // 2
+    a, b, d, _ = ann.search_block(x[:40], ids[:40], x, ids, 10, 1.0)
+    for i in range(40):
+        assert list(zip(ids[b[a == i]], d[a == i])) == want[i]
+
+
+def test_a_block_finds_the_neighbours_at_a_fraction_of_the_candidates():
+    """On vectors with and without clusters: recall of the calibrated walk, and the share of candidates it compares."""
+    rng = np.random.default_rng(15)
+    for centres, most in ((1, 0.5), (40, 0.1)):
+        x, ids = rng.standard_normal((centres, 16))[rng.integers(0, centres, 4000)] * 5 + rng.standard_normal((4000, 16)), np.arange(4000)
+        a, b, _, compared = ann.search_block(x[:100], ids[:100], x, ids, 10)
+        q, near, _ = ann.nearest(x[:100], ids[:100], x, ids, 10)
+        truth = set(zip(q.tolist(), near.tolist()))
+        assert len(truth & set(zip(a.tolist(), b.tolist()))) >= 0.95 * len(truth)
+        assert compared < most * 100 * len(x)
+
+
+def test_many_blocks_under_a_top(spark, monkeypatch):
+    """Leaves at the top, several blocks a leaf, and trees in each."""
+    monkeypatch.setattr(ann, "MEMBERS", 400)
+    monkeypatch.setattr(ann, "UNSPLIT", 64)
+    rng = np.random.default_rng(16)
+    x, ids = (rng.standard_normal((30, 12))[rng.integers(0, 30, 3000)] * 3 + rng.standard_normal((3000, 12))).astype(np.float32).astype(float), np.arange(3000)
+    got, want = found(ann.search(frame(spark, ids, x), sample=600)), brute(ids, x)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert set(got) == set(want) and hits >= 0.93 * 10 * len(want)
