@@ -57,6 +57,50 @@ def test_words_taken_come_near_targets(spark):
     assert all(abs(r["sum(taken)"] - r["max(target)"]) < 0.06 * r["max(target)"] for r in out)
 
 
+def test_every_source_is_near_its_target_where_it_can_be(spark):
+    """With the default chunk: within 1 % of the target wherever the best of all choices over the same floors is."""
+    for sf in ("0.001", "0.01"):
+        rows = mixing.mix(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")).select("source", "size", "source_size", "target", "taken").collect()
+        by = defaultdict(list)
+        for r in rows:
+            by[r["source"]].append(r)
+        for own in by.values():
+            target, ratio = own[0]["target"], own[0]["target"] / own[0]["source_size"]
+            whole = int(ratio + 1e-9)
+            best = {0}
+            if ratio - whole > 1e-9:
+                for r in own:  # all sums of words that choices of documents can give
+                    best |= {x + r["size"] for x in best}
+            least = min(abs(whole * own[0]["source_size"] + x - target) for x in best)
+            assert abs(sum(r["taken"] for r in own) - target) <= max(0.01 * target, least + 1e-6)
+
+
+def test_settle_carries_what_large_documents_are_off():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        size = np.sort(np.concatenate([rng.integers(1, 300, 400), [20_000, 15_000, 9_000]]))[::-1].astype(float)
+        out = mixing.land(mixing.settle(np.full(403, share), size, rng.random(403)), size)
+        assert set(out) <= {0, 1} and abs(out @ size - share * size.sum()) < 2
+
+
+def test_take_with_clashing_and_dotted_columns(spark, make, odd_rows):
+    from pyspark.sql import functions as F
+
+    docs = make(odd_rows).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("count", "a.b", "whole", "share", "chunk", "_nth2", "source_size", "nth"))])
+    taken = mixing.take(docs)
+    assert set(docs.columns) <= set(taken.columns) and taken.columns.count("copies") == 1
+    assert taken.count() == mixing.mix(docs).filter("copies > 0").count()
+
+
+def test_rows_of_one_document_share_its_copies_alike_in_reruns(spark):
+    rows = [(1, "w " * 50, "a", i) for i in range(40)] + [(2, "w " * 1000, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    a, b = (sorted(map(str, mixing.take(docs.repartition(n)).select("doc_id", "other", "copies").collect())) for n in (1, 5))
+    assert a == b
+    whole = mixing.mix(docs).filter("doc_id = 1").agg({"copies": "sum"}).first()[0]
+    assert mixing.take(docs).filter("doc_id = 1").agg({"copies": "sum"}).first()[0] == whole
+
+
 def test_take_keeps_rows(make, odd_rows):
     docs = make(odd_rows)
     taken = mixing.take(docs).collect()
