@@ -5,7 +5,8 @@ A text is reduced to its words (A-Z lower-cased, joined by one space). A notice
 are sought at once as exact seeds with an Aho-Corasick automaton; around each seed the regex library's bounded-error
 matching verifies the whole notice, counts its edits and gives its span. Exact phrases are counted apart.
 
-Each text is scanned whole, one at a time, on the executors; nothing is shuffled.
+Each text is scanned whole, one at a time, on the executors; nothing is shuffled. Where seeds crowd, the text is searched in
+overlapping pieces of bounded length, and places become word numbers by one look-up table, so the work grows with the text.
 
 Defined results: a null, empty or wordless text has no label and score 0; overlapping phrases are counted each;
 repeated rows are scanned each; empty tables give empty results; other columns are not read.
@@ -43,6 +44,7 @@ NOTICES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
+PIECE = 6  # lengths of a notice
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -74,6 +76,17 @@ def _occurrences(pattern: regex.Pattern, least: int, plain: str, a: int, b: int)
             todo += [(a, m.start()), (m.end(), b)]
 
 
+def _in_pieces(pattern: regex.Pattern, size: int, slack: int, plain: str, a: int, b: int) -> Iterator[regex.Match]:
+    """``_occurrences`` from left to right in pieces that overlap by as much as an occurrence can measure."""
+    while a < b:
+        end = min(b, a + PIECE * size)
+        found = sorted(_occurrences(pattern, size - slack, plain, a, end), key=lambda m: m.start())
+        yield from found
+        if end == b:
+            return
+        a = max(end - size - slack + 1, *(m.end() for m in found[-1:]), a + 1)
+
+
 def find_notices(plain: str, notices: tuple[tuple[str, str], ...] = NOTICES) -> list[tuple[int, int, int, int]]:
     """``(notice, start, end, edits)`` in characters of the reduced text, non-overlapping for each notice."""
     automaton, patterns = _compiled(notices)
@@ -90,8 +103,8 @@ def find_notices(plain: str, notices: tuple[tuple[str, str], ...] = NOTICES) ->
     out = []
     for i, of in windows.items():
         for a, b in of:
-            least = len(notices[i][0]) - errors(notices[i][0])
-            out += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in _occurrences(patterns[i], least, plain, a, min(b, len(plain)))]
+            size = len(notices[i][0])
+            out += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in _in_pieces(patterns[i], size, errors(notices[i][0]), plain, a, min(b, len(plain)))]
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
@@ -101,19 +114,22 @@ def scan_text(raw: bytes) -> dict:
     places, labels, score, spans = [], set(), 0.0, []
     if b"license" in plain:
         framed = b" " + plain + b" "
+        gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
         for phrase, label in PHRASES:
             sought, at = f" {phrase} ".encode(), -1
             while (at := framed.find(sought, at + 1)) >= 0:
-                places.append(framed.count(b" ", 0, at))
+                places.append(int(np.searchsorted(gaps, at)))
                 labels.add(label)
                 score = 1.0
     stated = sorted(labels)
     text = plain.decode()
-    for i, start, end, edits in find_notices(text):
+    notices = find_notices(text)
+    gaps = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32) if notices else None
+    for i, start, end, edits in notices:
         notice, label = NOTICES[i]
         labels.add(label)
         score = max(score, 1 - edits / len(notice))
-        spans.append({"label": label, "first_word": text.count(" ", 0, start), "end_word": text.count(" ", 0, end) + 1, "edits": edits})
+        spans.append({"label": label, "first_word": int(np.searchsorted(gaps, start)), "end_word": int(np.searchsorted(gaps, end)) + 1, "edits": edits})
     return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(stated), "labels": ",".join(sorted(labels)), "score": score, "spans": spans}
 
 

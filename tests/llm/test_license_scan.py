@@ -75,3 +75,51 @@ def test_clean_text_has_no_label():
 
 def test_empty(make):
     assert license_scan.report(make([])).count() == 0
+
+
+def least_edits(notice, text):
+    """The smallest edit distance between the notice and any part of the text (Sellers' table)."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        above, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(above[j - 1] + (c != d), above[j] + 1, row[-1] + 1))
+    return min(row)
+
+
+def test_labels_and_edits_against_an_edit_distance_table():
+    """Notices with more and fewer edits than their bound: found if and only if some part of the text is within it."""
+    import random
+
+    rng = random.Random(12)
+    seen = set()
+    for _ in range(120):
+        i = rng.randrange(len(license_scan.NOTICES))
+        chars = list(license_scan.NOTICES[i][0])
+        for _ in range(rng.randint(0, 2 * license_scan.errors(license_scan.NOTICES[i][0]))):
+            at = rng.randrange(len(chars))
+            chars[at] = rng.choice(("", "q", chars[at] + "z", rng.choice(chars)))
+        text = " ".join("".join(["some words here ", *chars, " and there"]).split())
+        found = {}
+        for k, start, end, edits in license_scan.find_notices(text):
+            assert least_edits(license_scan.NOTICES[k][0], text[start:end]) <= edits <= license_scan.errors(license_scan.NOTICES[k][0])
+            found[k] = min(found.get(k, 99), edits)
+        for k, (notice, _) in enumerate(license_scan.NOTICES):
+            within = least_edits(notice, text) <= license_scan.errors(notice)
+            assert within == (k in found), (notice, text)
+            seen.add(within)
+    assert seen == {True, False}
+
+
+def test_crowded_seeds_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        for text in ("mit license " * n, "released under the mit license " * (n // 4), "general public " * (n // 4)):
+            begin = time.process_time()
+            out = license_scan.scan_text(text.encode())
+            took.append(time.process_time() - begin)
+        assert out["n_base"] == 0
+    assert all(b < 8 * a + 0.5 for a, b in zip(took[:3], took[3:]))
+    assert len(license_scan.scan_text(b"released under the mit license " * 500)["spans"]) >= 500
