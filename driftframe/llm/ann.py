@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.durable import cut
+from driftframe.durable import cut, ship
 from driftframe.llm.sampling import smallest
 
 K, EVERY = 10, 100
@@ -256,6 +256,7 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 def search(table: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """``table(vec_id, embedding)`` to ``(query_id, rank, vec_id, score)`` for the rows whose id is divisible by ``every``."""
     spark = table.sparkSession
+    ship(spark)
     rows = valid_vectors(table).distinct()
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     rows_kept = cut(rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.durable import cut
+from driftframe.durable import cut, ship
 
 
 PER_TASK = 10_000
@@ -62,6 +62,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a long, b long)`` to ``(a, b)``: each node that is not the smallest of its component, and that smallest one."""
+    ship(edges.sparkSession)
     tasks = -(-edges.count() // PER_TASK) or 1
     now = cut(edges.repartition(tasks).mapInArrow(_forest, "a long, b long"))
     if tasks == 1:

@@ -1,11 +1,12 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The benchmark's distinct windows of ``size`` normalised words (an item of fewer words is one window) are the
-hash set. It is broadcast while its measured row count stays within ``MAX_BROADCAST``; beyond that the same
-join shuffles. Each document is read once: its words are cut into windows, exploded inside the scan's stage and
-looked up; the lookup compares the windows' text, so a hit is verified. A marker window, which no text can
-hold, rides along with every document and brings its word count, so that documents without hits need no second
-scan. What is shuffled is one row a document plus its hits.
+hash set. It is broadcast while its measured size stays within ``MAX_BROADCAST`` bytes. Each document is read once: its
+words are cut into windows, exploded inside the scan's stage and looked up; the lookup compares the windows' text, so a
+hit is verified. A marker window, which no text can hold, rides along with every document and brings its word count, so
+that documents without hits need no second scan. What is shuffled is one row a document plus its hits. A larger hash set
+is not broadcast: documents are numbered in a written table, windows meet the set in a shuffled join by their text, and
+the hits meet the documents by number; no key there is shared by many documents but the windows themselves.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; repeated rows are
 judged each; an item without words has no window; a null item_id marks hit words but is no item; the hash of no
@@ -17,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftframe.durable import cut
+from driftframe.llm.rows import named
+
 SIZE = 8
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 128_000_000
 #: Words are runs of anything but ASCII other than letters and digits.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "".join(map(chr, range(65, 91)))
@@ -49,19 +53,27 @@ def benchmark_grams(bench: DataFrame, size: int = SIZE) -> DataFrame:
 def hits(docs: DataFrame, bench: DataFrame, size: int = SIZE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """One row a document: ``(row, doc_id, n_words, spans, items)``; spans are (first, end) in words, items distinct ids."""
     grams = benchmark_grams(bench, size)
-    seen = {r["gram_size"]: r["n"] for r in grams.groupBy("gram_size").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
+    bulk = F.sum(F.octet_length("gram") + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + 32)
+    seen = {r["gram_size"]: r["n"] for r in grams.groupBy("gram_size").agg(bulk.alias("n")).collect()}  # at most `size` rows
+    small = sum(seen.values()) <= max_broadcast
     marker = grams.sparkSession.range(1).select(F.lit("").alias("gram"), F.lit(None).cast(grams.schema["item_id"].dataType).alias("item_id"))
-    keys = grams.select("gram", "item_id").unionByName(marker)
-    if sum(seen.values()) <= max_broadcast:
-        keys = F.broadcast(keys)
-    parts = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit("").alias("gram")))]
-    parts += [windows(F.col("seq"), F.col("n_words"), k) for k in sorted(seen)]
-    rows = docs.select("doc_id", words(F.col("text")).alias("seq"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("n_words", F.size("seq"))
+    keys = grams.select("gram", "item_id")
+    parts = [windows(F.col("seq"), F.col("n_words"), k) for k in sorted(seen)]
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = (rows if small else cut(rows)).select("doc_id", "row", words(F.col("text")).alias("seq")).withColumn("n_words", F.size("seq"))
+    if small:
+        keys = F.broadcast(keys.unionByName(marker))
+        parts.insert(0, F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit("").alias("gram"))))
+    parts = parts or [F.array().cast("array<struct<at:int,size:int,gram:string>>")]
     each = rows.select("row", "doc_id", "n_words", F.explode(F.concat(*parts)).alias("w")).select("row", "doc_id", "n_words", "w.*")
-    found = each.join(keys, "gram").groupBy("row", "doc_id", "n_words")
     span = F.when(F.col("size") > 0, F.struct(F.col("at").alias("first"), (F.col("at") + F.col("size")).alias("end")))
-    return found.agg(F.collect_set(span).alias("spans"), F.collect_set("item_id").alias("items"))
+    sets = F.collect_set(span).alias("spans"), F.collect_set("item_id").alias("items")
+    if small:
+        return each.join(keys, "gram").groupBy("row", "doc_id", "n_words").agg(*sets)
+    found = each.select("row", "at", "size", "gram").join(keys.hint("shuffle_merge"), "gram").groupBy("row").agg(*sets)
+    out = rows.select("row", "doc_id", "n_words").join(found, "row", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(dict(found.dtypes)[c])).alias(c)
+    return out.select("row", "doc_id", "n_words", none("spans"), none("items"))
 
 
 def covered(spans: Column) -> Column:
@@ -91,14 +103,16 @@ def clean(docs: DataFrame, bench: DataFrame, size: int = SIZE, min_items: int =
     Documents are told apart by (doc_id, text). Documents without a hit stay as they are, null text included; a cut
     text loses each hit word with what separates it from the next, and ``n_chars``, where it is a column, follows.
     """
-    kept = [F.col(c) for c in docs.columns]
+    kept = [named(c) for c in docs.columns]
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     found = hits(keyed.select(F.col("_key").alias("doc_id"), "text"), bench, size).filter(F.size("spans") > 0)
     found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.first("spans").alias("_spans"), F.first("items").alias("_items"))
     out = keyed.join(found, "_key", "left").filter(F.col("_spans").isNull() | (F.size("_items") < min_items))
     pieces = F.regexp_extract_all("text", F.lit(f"({WORD}[^\\x{{80}}-\\x{{10FFFF}}0-9A-Za-z]*)"), F.lit(1))
     lead = F.regexp_extract("text", r"^[^\x{80}-\x{10FFFF}0-9A-Za-z]*", 0)
-    rest = F.filter(pieces, lambda x, i: ~F.exists("_spans", lambda s: (s["first"] <= i) & (i < s["end"])))
+    hit = F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["end"] - 1)))
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), hit), lambda i: F.get("_pieces", i))
+    out = out.withColumn("_pieces", pieces)
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(rest, "")))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from driftframe.durable import ship
 from driftframe.llm.blocks import blocks, runs_of, strings
 
 #: HTML's elements by how they are read.
@@ -397,6 +398,7 @@ def _extractor(shared) -> Callable:  # noqa: ANN001
 
 def extract(pages: DataFrame, net: Network | None = None) -> DataFrame:
     """``pages(page_id, url, html)`` to ``(page_id, url, text, n_chars)``."""
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(net or default_network())
     kinds = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
     return pages.select("page_id", "url", "html").mapInArrow(_extractor(shared), ", ".join([*kinds, "text string", "n_chars long"]))

@@ -8,7 +8,12 @@ language is the one with the largest mean posterior, and that mean is its score.
 Training uses at most ``PER_LANG`` labelled documents of each language, those with the smallest hash, and joins runs of
 their words into sequences that switch language, so that transitions are learned. It maximises the conditional
 log-likelihood on the driver. Prediction reads every whole text on the executors; features are numpy arrays over the
-text's bytes, and all documents of a batch go through forward-backward in step.
+text's bytes, and documents go through forward-backward in step, as many as ``TEXT_BYTES`` hold.
+
+Posteriors share out certainty among the learned languages and so cannot tell that a text is in none of them. For that the
+scores before they are normalised are used: the mean over a text's words of the best language's score above the average of
+all (its fit) is small where few features were ever learned. ``keep_identified`` drops texts of ``FIT_WORDS`` words or more
+whose fit is below ``FIT_SHARE`` of the smallest one among the training texts of that length.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter (or if no label was learned); words without
 a letter take their neighbours' language; ties go to the language first in order; repeated rows are judged each; a null
@@ -26,13 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.blocks import U64, Block, blocks, strings
+from driftframe.durable import ship
+from driftframe.llm.blocks import U64, Block, blocks, runs_of, strings
 from driftframe.llm.sampling import smallest
 
 PER_LANG, SEQUENCES, RUN = 200, 1200, 24
 GRAM_BITS, WORD_BITS = 16, 18
 ROUNDS, RATE, DECAY = 40, 0.2, 1e-4
+TEXTS, TEXT_BYTES = 2500, 4_000_000  # that go through forward-backward in step
 UNKNOWN = "und"
+FIT_WORDS, FIT_SHARE = 20, 0.6
 LEAST = 0.34  # below this mean posterior a text is in no learned language; an even guess among four is 0.25
 
 
@@ -42,6 +50,7 @@ class Model:
     grams: np.ndarray
     words: np.ndarray
     steps: np.ndarray
+    least_fit: float = -np.inf
 
 
 def _slot(x: np.ndarray, bits: int) -> np.ndarray:
@@ -182,12 +191,18 @@ def label_words(text: str, model: Model) -> list[tuple[str, str, float]]:
     return out
 
 
-def predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's best language (an index) and its mean posterior."""
-    scores, counts = [], []
+def judged(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's best language (an index), its mean posterior, its fit, and how many words have a letter."""
+    scores, counts, fits, lettered = [], [], [], []
     for b in blocks(pc.utf8_lower(strings(texts))):
-        scores.append(emissions(b, model))
+        own = emissions(b, model)
+        scores.append(own)
         counts.append(b.n_words)
+        n = len(b.first) - 1
+        words = np.bincount(b.doc, own.any(1), n) if len(own) else np.zeros(n)
+        sums = np.stack([np.bincount(b.doc, own[:, k], n) for k in range(own.shape[1])], 1) if len(own) else np.zeros((n, len(model.langs)))
+        fits.append((sums.max(1) - sums.mean(1)) / np.maximum(words, 1))
+        lettered.append(words)
     size = np.concatenate(counts) if counts else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
     mean = np.zeros((len(size), len(model.langs)))
@@ -196,7 +211,12 @@ def predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
         full = size > 0
         mean[full] = np.add.reduceat(post, first[:-1][full], axis=0) / size[full, None]
     best = mean.argmax(1)
-    return best, np.clip(mean[np.arange(len(best)), best], 0, 1)
+    joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
+    return best, np.clip(mean[np.arange(len(best)), best], 0, 1), joined(fits), joined(lettered)
+
+
+def predict(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    return judged(texts, model)[:2]
 
 
 def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
@@ -204,7 +224,7 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         model = shared.value
         langs = np.array(model.langs + [UNKNOWN], object)
         for batch in batches:
-            for part in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
+            for part in (batch.slice(i, n) for i, n in runs_of(batch.column("text"), TEXTS, TEXT_BYTES)):
                 best, score = predict(part.column("text"), model)
                 known = part.column("letter").to_numpy(zero_copy_only=False) & (score > 0)
                 lang = langs[np.where(known, best, len(langs) - 1)]
@@ -216,8 +236,9 @@ def _predictor(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def _sieve(shared, least: float) -> Callable:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
-                yield part.filter(pa.array(predict(part.column("text"), shared.value)[1] >= least))
+            for part in (batch.slice(i, n) for i, n in runs_of(batch.column("text"), TEXTS, TEXT_BYTES)):
+                _, score, fit, words = judged(part.column("text"), shared.value)
+                yield part.filter(pa.array((score >= least) & ((words < FIT_WORDS) | (fit >= shared.value.least_fit))))
 
     return run
 
@@ -230,11 +251,16 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """A model from at most ``per_lang`` labelled documents a language that are not held out."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     sample = smallest(rows, per_lang, ["doc_id", "text"], 17, each="lang").select("text", "lang").collect()
-    return train(sorted((r["text"], r["lang"]) for r in sample))
+    rows = sorted((r["text"], r["lang"]) for r in sample)
+    if (model := train(rows)) is not None:
+        _, _, fit, words = judged(pa.array([t for t, _ in rows]), model)
+        model.least_fit = FIT_SHARE * float(fit[words >= FIT_WORDS].min(initial=np.inf)) if (words >= FIT_WORDS).any() else -np.inf
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs(doc_id, text, lang)`` to ``(doc_id, held_out, lang_pred, score)``."""
+    ship(docs.sparkSession)
     model = model or learn(docs)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     if model is None:
@@ -244,10 +270,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` without those whose language is ``und`` or less certain than ``least``; all columns stay. Without any
-    learned label only texts without a letter go."""
+    """``docs`` without those whose language is ``und``, less certain than ``least``, or none of the learned ones by its fit;
+    all columns stay. Without any learned label only texts without a letter go."""
+    ship(docs.sparkSession)
     lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
     model = learn(docs)
     if model is None:
         return lettered
-    return lettered.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)
+    plain = lettered.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # names may hold dots and ticks
+    return plain.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(model), least), plain.schema).toDF(*docs.columns)

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftframe.durable import ship
 from driftframe.llm.blocks import strings
 
 #: Phrases whose words must stand consecutively, with their labels.
@@ -145,6 +146,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)``."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, {fields}, spans array<struct<label:string,first_word:long,end_word:long,edits:long>>")

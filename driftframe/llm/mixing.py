@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.durable import cut
+from driftframe.durable import cut, ship
 from driftframe.llm.rows import named, row_hash
 
 CHUNK = 2048
@@ -178,6 +178,7 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_ratio: int = 3, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
     """``docs(doc_id, text, source)`` to ``(doc_id, source, text_key, size, source_size, target, copies, taken)``; ``text_key``
     is a hash of the text."""
+    ship(docs.sparkSession)
     row = ["doc_id", "source", "text_key", "size"]
     sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     repeats = sizes.groupBy(*row).agg(F.count("*").alias("n"))  # numbered, so that equal rows draw apart

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.durable import cut, release
+from driftframe.durable import cut, release, ship
 from driftframe.llm.blocks import U64, blocks, mix
 from driftframe.llm.components import components, joined
 from driftframe.llm.rows import row_hash
@@ -254,6 +254,7 @@ _MEMBER = ("node", "own", "apart", "g", "bound", "size", "bits0", "bits1")
 
 def group(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """``docs(doc_id long, text)`` to ``(doc_id, text_key, n_shingles, component_id, kept)``; ``text_key`` is a hash of the text."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     signed = cut(keyed.mapInArrow(_signer(shingle, bands_for(least)), "doc_id long, text_key long, n_shingles long, node binary, bands array<long>"))

@@ -5,7 +5,7 @@ labelled rows small boosted trees are grown; every path from a root to a node is
 with a lasso penalty, chosen on a part of the sample held apart, keeps few of them. The kept rules become one Spark
 column expression over the statistics, so scoring is a projection.
 
-The sample holds at most ``SAMPLE`` labelled rows, those with the smallest hash; rows of the held-out third are never in
+The sample holds at most ``SAMPLE`` labelled rows, those with the smallest hash, of documents and of labels; rows of the held-out third are never in
 it. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null, empty or wordless text has all statistics 0 and is scored like any other; without labelled rows
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftframe.durable import ship
 from driftframe.llm.blocks import Block, blocks
 from driftframe.llm.langid import held_out
 from driftframe.llm.sampling import smallest
@@ -95,6 +96,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(rows: DataFrame) -> DataFrame:
     """``rows`` with its column ``text`` replaced by the statistics."""
+    ship(rows.sparkSession)
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
     return rows.mapInArrow(_measure, ", ".join([*kept, *(f"{s} double" for s in STATISTICS)]))
 
@@ -199,7 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     """An ensemble from at most ``sample`` labelled rows that are not held out."""
     named = labels.select("doc_id", F.col(label).cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     named = smallest(named, sample, ["doc_id", "y"], 23)
-    rows = measured(docs.select("doc_id", "text").join(named, "doc_id")).toPandas().sort_values(["doc_id", "y", *STATISTICS])
+    chosen = smallest(docs.select("doc_id", "text").join(named, "doc_id"), sample, ["doc_id", "y", "text"], 23)  # an id may stand in many rows
+    rows = measured(chosen).toPandas().sort_values(["doc_id", "y", *STATISTICS])
     return fit(rows[list(STATISTICS)].to_numpy(float), (rows["y"].to_numpy(float) > 0).astype(float))
 
 

@@ -6,12 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftframe.durable import ship
 from driftframe.llm import ann, decontaminate, html_extract, langid, license_scan, mixing, near_dedup, quality, secret_scan, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

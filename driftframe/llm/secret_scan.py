@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftframe.llm.rows import named
+
 #: Kinds in the order in which findings at one place are listed, with pattern, group that is measured, and its least length.
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -201,4 +203,4 @@ def redact(docs: DataFrame, model: Model | None = None, mask: str = "[secret]")
     out = out.withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.concat(kept, rest)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[named(c) for c in docs.columns])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.durable import cut, release
+from driftframe.durable import cut, release, ship
 from driftframe.llm.blocks import Block, blocks, mix
 
 SIZE, ANCHOR, PERIOD = 35, 15, 21
@@ -129,6 +129,7 @@ def _repeated(places: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, digest: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, n_words, n_removed, kept)``, or with ``kept_sha256`` in place of the text."""
+    ship(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     near = cut(_repeated(keyed.select("key", "text").mapInArrow(_anchors, _PLACES)))
     release(docs.sparkSession)  # the anchors are the larger part of what is shuffled, and done with

@@ -35,6 +35,8 @@ def test_against_brute_force(spark, make, odd_rows):
     for limit in (decontaminate.MAX_BROADCAST, 0):
         found = decontaminate.hits(make(odd_rows), frame, max_broadcast=limit)
         assert found.count() == len(odd_rows)
+    near, far = (sorted((str(r["doc_id"]), r["n_words"], sorted(map(tuple, r["spans"])), sorted(r["items"])) for r in decontaminate.hits(make(odd_rows), frame, max_broadcast=limit).collect()) for limit in (decontaminate.MAX_BROADCAST, 0))
+    assert near == far and any(s for _, _, s, _ in near)
     got = decontaminate.report(make(odd_rows), frame).collect()
     want = sorted((str(i), *map(str, brute(t, bench))) for i, t, _, _ in odd_rows)
     assert sorted(tuple(str(r[c]) for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got) == want

@@ -83,3 +83,41 @@ def test_near_copies_share_four_fifths_of_five_words(spark, make):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     assert got == kept_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_texts_in_no_learned_language_go(spark, make):
+    """Texts in languages that no label names, and keyboard noise, go; the labelled ones stay."""
+    odd = [
+        "zażółć gęślą jaźń i wszystkie polskie znaki w jednym zdaniu które jest dość długie żeby można było je rozpoznać bez żadnych wątpliwości nawet gdy czyta je ktoś kto nie mówi po polsku",
+        "добрый день всем и добро пожаловать в наш дом сегодня вечером мы будем рады видеть вас здесь за большим столом где уже стоят чай хлеб и варенье для всех наших гостей а потом споём старые песни",
+        "hyvää päivää kaikille suomalaisille ja tervetuloa meidän kotiimme tänään illalla kun sytytämme kynttilät ja luemme yhdessä kirjoja joita olemme lainanneet kirjastosta viime viikolla ystäviemme kanssa",
+        " ".join("".join(random.Random(i).choices("qwxzjkvpbhg", k=7)) for i in range(40)),
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = make([(10**9 + i, t, None, "s") for i, t in enumerate(odd)]).select(docs.columns)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_stages_with_other_columns(spark, make, odd_rows):
+    """Columns whose names clash with what stages use inside, or hold dots and ticks, pass through all stages."""
+    from pyspark.sql import functions as F
+
+    names = ("count", "a.b", "c`d", "most", "hub", "own", "g", "bits0", "component_id", "gram", "row", "key2")
+    docs = make([*odd_rows, (903, "token = abcdefghijkl", "en", "s")])
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names) if n not in docs.columns])
+    columns = set(docs.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, SF))
+        assert columns <= set(docs.columns)
+    assert docs.count() > 10
+
+
+def test_choices_among_repeated_rows_do_not_depend_on_their_order(spark, make):
+    from pyspark.sql import functions as F
+
+    docs = make([(1, "one text of some words here", "en", "s")] * 6 + [(2, "another text of other words there", "en", "s")])
+    docs = docs.withColumn("other", F.monotonically_increasing_id() % 100)
+    docs = corpus_pipeline.cut(docs)
+    kept = [sorted(r["other"] for r in corpus_pipeline.drop_near_copies(spark, docs.orderBy(F.col("other") * s), SF).collect()) for s in (1, -1)]
+    assert kept[0] == kept[1] and len(kept[0]) == 2
