@@ -3,13 +3,14 @@
 A cut writes a DataFrame as Parquet below the folder that the cluster names in ``spark.checkpoint.dir``
 (a store that every executor can read) and reads it back. Unlike ``Dataset.checkpoint`` it computes its
 input once, keeps columns prunable and tells Spark the size of what was written, so that later joins can
-choose a broadcast by a measured size.
+choose a broadcast by a measured size. What was written goes when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import time
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs in this process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="driftframe-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -36,6 +39,8 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/driftframe/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
