@@ -112,7 +112,7 @@ def clean(docs: DataFrame, bench: DataFrame, size: int = SIZE, min_items: int =
     lead = F.regexp_extract("text", r"^[^\x{80}-\x{10FFFF}0-9A-Za-z]*", 0)
     hit = F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["end"] - 1)))
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), hit), lambda i: F.get("_pieces", i))
-    out = out.withColumn("_pieces", pieces)
+    out = out.withColumn("_pieces", F.when(F.col("_spans").isNotNull(), pieces))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(rest, "")))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
