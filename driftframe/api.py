@@ -8,13 +8,14 @@ from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftframe.config import ConfigError, DiffConfig
 from driftframe.durable import cut
-from driftframe.functions.status import Level, OneSidedScope, lay_out
+from driftframe.functions.status import IDENTICAL, Level, OneSidedScope, lay_out
 from driftframe.operators.counts import counts
-from driftframe.operators.examples import examples
+from driftframe.operators.examples import SCHEMA, examples
 from driftframe.operators.match import judged, matched
 from driftframe.plans.plan import LEFT, RIGHT, Plan, build_plan, same_type
 from driftframe.result import DatasetDiffs, read
@@ -28,7 +29,7 @@ def as_config(config: Config) -> DiffConfig:
 
 @dataclass
 class Diff:
-    """A comparison. Frames are lazy; nothing is read before one of them is used."""
+    """A comparison. Counts are lazy; nothing is read before they are used."""
 
     left: DataFrame
     right: DataFrame
@@ -46,17 +47,18 @@ class Diff:
         return counts(self.judged(), *self.levels)
 
     def examples(self, judged_values: DataFrame | None = None) -> DataFrame:
-        """``(scope, field, category, key, left, right)``, at most ``max_examples`` of each kind."""
+        """``(scope, field, category, key, left, right)``, at most ``max_examples`` of each kind. The records that differ are
+        written to the shared folder when this is called; every kind of example is read from there."""
+        if not self.plan.config.max_examples:
+            return self.left.sparkSession.createDataFrame([], SCHEMA)
         rows = self.judged(values=True) if judged_values is None else judged_values
-        return examples(rows, *self.levels, self.plan, self.left, self.right)
+        return examples(cut(rows.filter(F.col("c") != IDENTICAL)), *self.levels, self.plan, self.left, self.right)
 
     def run(self) -> DatasetDiffs:
-        """The whole result on the driver. Both sides are matched once; what was matched is written to the shared folder."""
-        rows, shown = self.judged(), None
-        if self.plan.config.max_examples:
-            rows = cut(self.judged(values=True))
-            shown = self.examples(rows)
-        return read(counts(rows, *self.levels), shown, self.plan.reported_schema(LEFT), self.plan.reported_schema(RIGHT))
+        """The whole result on the driver. Counts come from statuses alone; of the records only those that differ are written, to
+        the shared folder, for the examples."""
+        shown = self.examples() if self.plan.config.max_examples else None
+        return read(self.counts(), shown, self.plan.reported_schema(LEFT), self.plan.reported_schema(RIGHT))
 
 
 def diff(left: DataFrame, right: DataFrame, config: Config) -> Diff:

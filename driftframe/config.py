@@ -1,4 +1,4 @@
-"""What to compare and how, as frozen dataclasses that read and write plain dicts (so JSON, or any format that gives dicts).
+"""What to compare and how, as frozen dataclasses that read and write plain dicts, and JSON text or files.
 
 Paths are dotted and use aliased names, from the root of the record; only the alias tables use raw names. Keys of a keyed
 array are relative to its elements.
@@ -6,6 +6,7 @@ array are relative to its elements.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -117,6 +118,25 @@ class DiffConfig:
             tolerances=tolerances,
         )
 
+    @classmethod
+    def from_json(cls, text: str) -> DiffConfig:
+        try:
+            raw = json.loads(text)
+        except json.JSONDecodeError as error:
+            raise ConfigError(f"Not JSON: {error}") from error
+        if not isinstance(raw, Mapping):
+            raise ConfigError("A configuration is an object of named settings")
+        return cls.from_dict(raw)
+
+    @classmethod
+    def from_file(cls, path: str) -> DiffConfig:
+        """From a JSON file that the driver can open."""
+        with open(path, encoding="utf-8") as file:
+            return cls.from_json(file.read())
+
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict(), indent=2)
+
     def to_dict(self) -> dict[str, Any]:
         said = ".".join
         omit = lambda on: {"multiple-matches": {"omit-if-all-identical": on}}

@@ -74,7 +74,7 @@ def write(spec: Spec) -> str:
         for category, code in _CATEGORIES[_kind(f, spec)]:
             add(f.name, _kind(f, spec), category, f"{n} = {code}")
     sql = f"WITH {', '.join(ctes)} SELECT * FROM ({' UNION ALL '.join(rows)}) o" + (f" WHERE {spec.where}" if spec.where else "")
-    for word, text in (("{string}", "VARCHAR"), ("{slice3}", "embedding[1:3]"), ("named_struct(", "struct_pack("), *((f"{{{t}}}", t) for t in spec.tables)):
+    for word, text in (("{string}", "VARCHAR"), ("{binary}", "BLOB"), ("{slice3}", "embedding[1:3]"), ("named_struct(", "struct_pack("), *((f"{{{t}}}", t) for t in spec.tables)):
         sql = sql.replace(word, text)
     for name in ("nation", "balance", "segment"):
         sql = sql.replace(f"'{name}', ", f"{name} := ")

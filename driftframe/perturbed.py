@@ -6,6 +6,7 @@ full outer join, from which ``oracle.py`` writes the SQL that checks the engine.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -13,6 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from driftframe.api import diff, diff_pruned
+from driftframe.config import DiffConfig
 from driftframe.sources import frame
 
 
@@ -40,6 +42,7 @@ class Spec:
     fields: list[F]
     omit: list[str] | None = None  # columns that must agree for repeated rows to be left out
     pruned: bool = False
+    text: bool = False  # the configuration is read from text, written out and read again
     tables: tuple[str, ...] = ("orders",)
     where: str | None = None  # of the result
 
@@ -144,6 +147,19 @@ SPECS: dict[str, Spec] = {
     "array_atomic": Spec(
         "SELECT vec_id AS k, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE embedding END AS v FROM {embeddings}", "SELECT vec_id AS k, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 13 = 0 THEN slice(embedding, 1, 3) ELSE embedding END AS v FROM {embeddings}".replace("slice(embedding, 1, 3)", "{slice3}"),
         {"keys": ["k"]}, ["k"], [both("k", key=True), both("v")], tables=("embeddings",)),
+    "byte_is_strict": Spec(
+        "SELECT p_partkey AS k, CAST(p_size AS TINYINT) AS b, CAST(p_size AS SMALLINT) AS s FROM {part}", "SELECT p_partkey AS k, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS TINYINT) AS b, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS SMALLINT) AS s FROM {part}",
+        {"keys": ["k"], "default-tolerance": {"absolute": 2}}, ["k"], [both("k", key=True), both("b"), both("s", same=_near("s", 2))], tables=("part",)),
+    "binary_values": Spec(
+        "SELECT p_partkey AS k, CAST(p_name AS {binary}) AS b FROM {part}", "SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN CAST(concat(p_name, 'x') AS {binary}) ELSE CAST(p_name AS {binary}) END AS b FROM {part}",
+        {"keys": ["k"]}, ["k"], [both("k", key=True), both("b")], tables=("part",)),
+    "tol_nested": Spec(
+        "SELECT c_custkey AS k, named_struct('nation', c_nationkey, 'balance', CAST(floor(c_acctbal) AS DOUBLE)) AS s FROM {customer}", "SELECT c_custkey AS k, named_struct('nation', CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END, 'balance', CASE WHEN c_custkey % 3 = 0 THEN floor(c_acctbal) + 1.0e0 WHEN c_custkey % 7 = 0 THEN floor(c_acctbal) + 64.0e0 ELSE floor(c_acctbal) + 0.0e0 END) AS s FROM {customer}",
+        {"keys": ["k"], "default-tolerance": {"absolute": 100}, "tolerances": {"s": {"absolute": 2}, "s.nation": {"absolute": 0}}}, ["k"],
+        [both("k", key=True), F("s", "x.s", "x.s", struct=True), both("s.nation", "s.nation", parent="s"), F("s.balance", "x.s.balance", "x.s.balance", "(abs(l.s.balance - r.s.balance) <= 2)", parent="s")], tables=("customer",)),
+    "ignored_containers": Spec(_CL, _CR, {"keys": ["k"], "ignore": {"fields": ["s.nation", "s.balance", "s.segment"]}}, ["k"], [both("k", key=True), both("name")], tables=("customer",)),
+    "demoted_container": Spec(_CL, _CR, {"keys": ["k"], "ignore": {"fields": ["s.nation", "s.balance"]}}, ["k"], [both("k", key=True), both("name"), F("s", None, "x.s"), F("s.segment")], tables=("customer",)),
+    "configuration_text": Spec(_L, _R, {"keys": ["k"], "default-tolerance": {"absolute": 2}, "ignore": {"fields": ["day"]}}, ["k"], [both("k", key=True), both("cust", same="abs(l.cust - r.cust) <= 2"), both("price", same="abs(l.price - r.price) <= 2"), both("status"), both("priority")], text=True),
     "time_types": Spec(
         "SELECT event_id AS k, ts AS at, CAST(ts AS DATE) AS day FROM {events}", "SELECT event_id AS k, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN ts + INTERVAL '1' DAY ELSE ts END AS at, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM {events}",
         {"keys": ["k"]}, ["k"], [both("k", key=True), both("at"), both("day")], tables=("events",)),
@@ -159,7 +175,7 @@ SPECS: dict[str, Spec] = {
 
 
 def side(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
-    for word, text in (("{string}", "STRING"), ("{slice3}", "slice(embedding, 1, 3)")):
+    for word, text in (("{string}", "STRING"), ("{binary}", "BINARY"), ("{slice3}", "slice(embedding, 1, 3)")):
         sql = sql.replace(word, text)
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
@@ -167,7 +183,8 @@ def side(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) ->
 def runner(spec: Spec) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         left, right = (side(spark, sf_dir, sql, spec.tables) for sql in (spec.left, spec.right))
-        made = diff_pruned(frame(left), frame(right), left.schema, right.schema, spec.config) if spec.pruned else diff(left, right, spec.config)
+        config = DiffConfig.from_json(DiffConfig.from_json(json.dumps(spec.config)).to_json()) if spec.text else spec.config
+        made = diff_pruned(frame(left), frame(right), left.schema, right.schema, config) if spec.pruned else diff(left, right, config)
         return made.counts().filter(spec.where) if spec.where else made.counts()
 
     return run
