@@ -74,3 +74,56 @@ def test_held_out_labels_change_nothing(spark):
     flipped = docs.withColumn("lang", __import__("pyspark.sql.functions", fromlist=["when"]).when(langid.held_out(), "xx").otherwise(docs["lang"]))
     get = lambda d: sorted(map(tuple, langid.identify(d).collect()))
     assert get(docs) == get(flipped)
+
+
+def plain_prediction(text, model):
+    """A text's language and score word by word: features looked up one by one, forward-backward with plain loops."""
+    import math
+    import unicodedata
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und", 0.0
+    slot = lambda x, bits: int(langid._slot(np.array([x], np.uint64), bits)[0])
+    rows = []
+    for word in pc.utf8_lower(pa.array([text]))[0].as_py().encode().translate(bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))).split(b" "):
+        if not word:
+            continue
+        if not any(97 <= c <= 122 or c >= 128 for c in word):
+            rows.append([0.0] * len(model.langs))
+            continue
+        framed = b" " + word + b" "
+        score = sum(model.grams[slot((framed[i] << 16) | (framed[i + 1] << 8) | framed[i + 2], langid.GRAM_BITS)].astype(float) for i in range(len(word)))
+        head, tail = word[:3].ljust(3), word[-3:].rjust(3)
+        for part, family in ((head, 25), (tail, 26)):
+            score = score + model.grams[slot(((part[0] << 16) | (part[1] << 8) | part[2]) + (1 << family), langid.GRAM_BITS)]
+        (b,) = langid.blocks(pa.array([word.decode()]))
+        rows.append((score + model.words[langid._slot(b.word_hashes(), langid.WORD_BITS)[0]]).tolist())
+    k, step = range(len(model.langs)), np.exp(model.steps)
+    local = [[math.exp(x - max(r)) for x in r] for r in rows]
+    alpha, beta = [local[0]], [[1.0] * len(k)]
+    for r in local[1:]:
+        now = [sum(alpha[-1][i] * step[i][j] for i in k) * r[j] for j in k]
+        alpha.append([x / sum(now) for x in now])
+    for r in local[:0:-1]:
+        now = [sum(step[i][j] * r[j] * beta[-1][j] for j in k) for i in k]
+        beta.append([x / sum(now) for x in now])
+    mean = np.zeros(len(k))
+    for a, b in zip(alpha, beta[::-1]):
+        both = np.array(a) * np.array(b)
+        mean += both / both.sum() / len(local)
+    return model.langs[int(mean.argmax())], float(mean.max())
+
+
+def test_whole_result_against_word_by_word(spark, make, odd_rows):
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 700")
+    model = langid.learn(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()][:120] + [(r[0], r[1]) for r in odd_rows if len(r[1] or "") < 700] + [(1, "12 34"), (2, "a 12 Ünä"), (3, "ß")]
+    want = sorted((str(i), i is not None and zlib.crc32(str(i).encode()) % 3 == 1, *plain_prediction(t, model)) for i, t in rows)
+    got = sorted((str(r["doc_id"]), r["held_out"], r["lang_pred"], r["score"]) for r in langid.identify(make([(i, t, None, "s") for i, t in rows]), model).collect())
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3, (a, b)

@@ -57,3 +57,46 @@ def test_odd_rows(spark, make, odd_rows):
     assert all(r["score"] == 0.5 for r in quality.score(docs, labels.limit(0)).collect())
     assert len({r["score"] for r in quality.score(docs, labels.filter("quality = 1")).collect()}) == 1
     assert quality.score(make([]), labels).count() == 0
+
+
+def plain_statistics(text):
+    """Each of ``STATISTICS`` of one text, word by word."""
+    import math
+    from collections import Counter
+
+    raw = (text or "").encode()
+    lines = [w for w in (line.split() for line in raw.split(b"\n")) if w]
+    words = [w for line in lines for w in line]
+    if not words:
+        return [0.0] * len(quality.STATISTICS)
+    data, count = b"".join(words), Counter(words)
+    share = lambda test: sum(map(test, data)) / len(data)
+    per = lambda test: sum(map(test, words)) / len(words)
+    among = lambda chars: share(lambda c: c < 128 and chr(c) in chars)
+    return [
+        math.log1p(len(words)), len(data) / len(words), len(count) / len(words), max(count.values()) / len(words), per(lambda w: len(w) <= 3), per(lambda w: len(w) >= 15),
+        share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), among("#$%&*@^~<>{}[]\\=+_/"), among(".,;:"), among("!?"), among("|"), share(lambda c: c >= 128),
+        math.log1p(len(words) / len(lines)), 1 - len(set(map(tuple, lines))) / len(lines),
+    ]
+
+
+def test_whole_result_against_rules_read_one_by_one(spark):
+    import math
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    odd = [(10**9, None), (10**9 + 1, ""), (10**9 + 2, " \n\t\n"), (10**9 + 3, "É\n\na b\na b\n|!? #x 12\n" * 3)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    model = quality.learn(docs, labels)
+    want = {}
+    for r in docs.collect():
+        x, total = plain_statistics(r["text"]), model.base
+        for rule, weight in zip(model.rules, model.weights):
+            total += weight if all((x[f] > cut) == above for f, above, cut in rule) else 0
+        want[r["doc_id"]] = (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1, 1 / (1 + math.exp(-total)), x)
+    got = quality.score(docs, labels).collect()
+    assert len(got) == len(want) and model.rules
+    for r in got:
+        held_out, score, x = want[r["doc_id"]]
+        assert all(abs(r[s] - v) < 1e-9 for s, v in zip(quality.STATISTICS, x)), (r["doc_id"], x)
+        assert r["held_out"] == held_out and abs(r["score"] - score) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
