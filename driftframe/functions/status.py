@@ -229,7 +229,8 @@ def _by_key(level: Level, left: Column, right: Column, values: bool) -> Column:
     array = level.array
     own_key = lambda e: normal_key(array.keyed.keys, array.children, e)
     there = lambda a: F.filter(a, lambda e: e.isNotNull())
-    tagged = lambda a, side: F.transform(there(a), lambda e, i: F.struct(own_key(e).alias("k"), F.lit(side).alias("side"), i.alias("at"), e.alias("e")))
+    # the sides' elements may differ in type, so each has a member of its own; the other's is a typed null
+    tagged = lambda a, side: F.transform(there(a), lambda e, i: F.struct(own_key(e).alias("k"), F.lit(side).alias("side"), i.alias("at"), *((e if s == side else F.get(other, F.lit(-1))).alias(f"e{s}") for s, other in enumerate((left, right)))))
 
     def extra(k: Column, x: Column, y: Column, xs: Column, ys: Column) -> list[Column]:
         return [k.alias("key"), x.alias("left"), y.alias("right"), F.reverse(xs).alias("lefts"), F.reverse(ys).alias("rights")] if values else []
@@ -255,7 +256,7 @@ def _by_key(level: Level, left: Column, right: Column, values: bool) -> Column:
         return let(edges, lambda e: F.filter(cut(e), lambda r: r.isNotNull()))
 
     def matched(all_: Column) -> Column:
-        of = lambda run, side: F.transform(F.filter(run, lambda p: p["side"] == side), lambda p: p["e"])
+        of = lambda run, side: F.transform(F.filter(run, lambda p: p["side"] == side), lambda p: p[f"e{side}"])
         return F.transform(runs(all_), lambda run: let(F.struct(F.element_at(run, 1)["k"].alias("k"), of(run, 0).alias("x"), of(run, 1).alias("y")), lambda g: group(g["k"], g["x"], g["y"])))
 
     by_key = let(F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))), matched)

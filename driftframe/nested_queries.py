@@ -155,7 +155,7 @@ def map_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     left = spark.sql(_MAP.format(status="o_orderstatus", day="CAST(o_orderdate AS STRING)", extra="y", order="'a', o_custkey, 'b', o_orderkey"), orders=orders)
     right = spark.sql(_MAP.format(status="CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END", day="CAST(o_orderdate AS STRING)", extra="z", order="'b', o_orderkey, 'a', CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 2 ELSE o_custkey END"), orders=orders)
-    return diff(left, right, {"keys": ["k"]}).counts().filter("field in ('m', 'p')")
+    return diff(left, right, {"keys": ["k"]}).counts()
 
 
 def map_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,13 +183,13 @@ def nested_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def struct_array_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _conversations(spark, sf_dir, "left").select("conv_id")
     right = _conversations(spark, sf_dir, "right")
-    return diff(left, right, {"keys": ["conv_id"]}).counts().filter("kind <> 'record' AND kind <> 'kind'")
+    return diff(left, right, {"keys": ["conv_id"]}).counts()
 
 
 def exploded_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _conversations(spark, sf_dir, "left").select("conv_id")
     right = _conversations(spark, sf_dir, "right")
-    return diff(left, right, {"keys": ["conv_id"]} | _BY_TURN).counts().filter("scope = 'turns'")
+    return diff(left, right, {"keys": ["conv_id"]} | _BY_TURN).counts()
 
 
 def examples_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,9 +215,25 @@ def _simple(field: str, source: str) -> str:
     return f"SELECT '' AS scope, '{field}' AS field, 'common' AS kind, x.category, CAST(count(*) FILTER (WHERE s = x.code) AS BIGINT) AS n FROM ({source}) q, (VALUES ('identical', 1), ('different', 2), ('left_only', 4), ('right_only', 8)) x(category, code) GROUP BY x.category"
 
 
+def _whole(fields: dict[str, str], table: str, key: str) -> str:
+    """All counts of flat records that meet, from each field's test of equality."""
+    same = " AND ".join(f"({t})" for t in fields.values())
+    tests = [("", "record", {"identical": same, "different": f"NOT ({same})"}, ("identical", "different", "left_only", "right_only", "multiple_matches")), ("", "kind", {"content": f"NOT ({same})"}, ("content", "left_only", "right_only", "left_and_right_only"))]
+    tests += [(f, "common", {"identical": t, "different": f"NOT ({t})"}, ("identical", "different", "left_only", "right_only")) for f, t in ({key: "true"} | fields).items()]
+    return " UNION ALL ".join(f"SELECT '' AS scope, '{f}' AS field, '{kind}' AS kind, '{c}' AS category, CAST(count(*) FILTER (WHERE {when.get(c, 'false')}) AS BIGINT) AS n FROM {table}" for f, kind, when, categories in tests for c in categories)
+
+
 _ONE_SIDED = f"SELECT r.conv_id, {_NO_ARRAY['right']} AS none FROM (SELECT DISTINCT conv_id FROM conversations WHERE {_NO_CONVERSATION['right']} AND {_NO_CONVERSATION['left']}) r"
 _ONE_SIDED_TURNS = f"SELECT count(*) FROM ({_turns('right')}) t WHERE {_NO_CONVERSATION['left']} AND NOT ({_NO_ARRAY['right']})"
 
+_LONE_CONVERSATIONS = {s: f"SELECT count(DISTINCT conv_id) FROM conversations WHERE {_NO_CONVERSATION[s]} AND NOT ({_NO_CONVERSATION[o]})" for s, o in (("left", "right"), ("right", "left"))}
+#: All counts of the root of conversations of which only the right side has turns.
+_ONE_SIDED_ROOT = f"""
+SELECT '' AS scope, x.f AS field, x.k AS kind, x.c AS category, CAST(CASE x.w WHEN 'pairs' THEN (SELECT count(*) FROM p) WHEN 'nulls' THEN (SELECT count(*) FROM p WHERE none) WHEN 'arrays' THEN (SELECT count(*) FROM p WHERE NOT none) WHEN 'left' THEN ({_LONE_CONVERSATIONS["left"]}) WHEN 'right' THEN ({_LONE_CONVERSATIONS["right"]}) ELSE 0 END AS BIGINT) AS n
+FROM (VALUES ('', 'record', 'identical', 'nulls'), ('', 'record', 'different', 'arrays'), ('', 'record', 'left_only', 'left'), ('', 'record', 'right_only', 'right'), ('', 'record', 'multiple_matches', ''),
+  ('', 'kind', 'content', ''), ('', 'kind', 'left_only', ''), ('', 'kind', 'right_only', 'arrays'), ('', 'kind', 'left_and_right_only', ''),
+  ('conv_id', 'common', 'identical', 'pairs'), ('conv_id', 'common', 'different', ''), ('conv_id', 'common', 'left_only', ''), ('conv_id', 'common', 'right_only', ''), ('turns', 'right', 'nulls', 'nulls'), ('turns', 'right', 'right_only', 'arrays')) x(f, k, c, w)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "struct_array_positional": _compare({}),
     "exploded_records": _compare(_BY_TURN),
@@ -241,7 +257,7 @@ SQL: dict[str, str] = {
     "exploded_duplicates_omitted": _conversation_sql(True, True, True),
     "root_kind_from_array_flags": f"SELECT * FROM ({_conversation_sql(False)}) w WHERE kind = 'kind'",
     "exploded_nested": _NESTED_SQL,
-    "map_equality": f"{_simple('m', 'SELECT CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0 THEN 1 ELSE 2 END AS s FROM orders')} UNION ALL {_simple('p', 'SELECT CASE WHEN o_orderkey % 11 <> 0 THEN 1 ELSE 2 END AS s FROM orders')}",
+    "map_equality": _whole({"m": "o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0", "p": "o_orderkey % 11 <> 0"}, "orders", "k"),
     "map_tolerance": _simple("p", "SELECT CASE WHEN o_orderkey % 5 <= 2 THEN 1 ELSE 2 END AS s FROM orders"),
     "array_tolerance": _simple("a", "SELECT CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <= 2 THEN 1 ELSE 2 END AS s FROM orders"),
     "nested_key": f"""
@@ -251,11 +267,12 @@ FROM n, (VALUES ('', 'record', 'identical', 'same'), ('', 'record', 'different',
   ('', 'kind', 'content', 'diff'), ('', 'kind', 'left_only', ''), ('', 'kind', 'right_only', ''), ('', 'kind', 'left_and_right_only', ''),
   {", ".join(f"('{f}', 'common', '{c}', '{w}')" for f, same, different in (("who", "same", "diff"), ("who.id", "inner", ""), ("who.name", "same_inner", "diff"), ("balance", "all", "")) for c, w in (("identical", same), ("different", different), ("left_only", ""), ("right_only", "")))}) x(f, k, c, w)""",
     "struct_array_one_sided": f"""
-WITH p AS ({_ONE_SIDED})
-SELECT '' AS scope, x.f AS field, x.k AS kind, x.c AS category, CAST(CASE x.w WHEN 'pairs' THEN (SELECT count(*) FROM p) WHEN 'nulls' THEN (SELECT count(*) FROM p WHERE none) WHEN 'arrays' THEN (SELECT count(*) FROM p WHERE NOT none) WHEN 'turns' THEN ({_ONE_SIDED_TURNS}) ELSE 0 END AS BIGINT) AS n
-FROM (VALUES ('conv_id', 'common', 'identical', 'pairs'), ('conv_id', 'common', 'different', ''), ('conv_id', 'common', 'left_only', ''), ('conv_id', 'common', 'right_only', ''), ('turns', 'right', 'nulls', 'nulls'), ('turns', 'right', 'right_only', 'arrays'),
-  ('turns (struct)', 'right', 'nulls', ''), ('turns (struct)', 'right', 'right_only', 'turns'), ('turns.turn', 'right', 'nulls', ''), ('turns.turn', 'right', 'right_only', ''), ('turns.role', 'right', 'nulls', ''), ('turns.role', 'right', 'right_only', ''),
-  ('turns.text', 'right', 'nulls', ''), ('turns.text', 'right', 'right_only', '')) x(f, k, c, w)""",
-    "exploded_one_sided": f"SELECT 'turns' AS scope, f AS field, 'right' AS kind, 'right_only' AS category, CAST(CASE WHEN f = '' THEN ({_ONE_SIDED_TURNS}) ELSE 0 END AS BIGINT) AS n FROM (VALUES (''), ('turn'), ('role'), ('text')) x(f)",
+WITH p AS ({_ONE_SIDED}) {_ONE_SIDED_ROOT}
+UNION ALL SELECT '' AS scope, x.f, 'right', x.c, CAST(CASE x.w WHEN 'turns' THEN ({_ONE_SIDED_TURNS}) ELSE 0 END AS BIGINT)
+FROM (VALUES ('turns (struct)', 'nulls', ''), ('turns (struct)', 'right_only', 'turns'), ('turns.turn', 'nulls', ''), ('turns.turn', 'right_only', ''), ('turns.role', 'nulls', ''), ('turns.role', 'right_only', ''),
+  ('turns.text', 'nulls', ''), ('turns.text', 'right_only', '')) x(f, c, w)""",
+    "exploded_one_sided": f"""
+WITH p AS ({_ONE_SIDED}) {_ONE_SIDED_ROOT}
+UNION ALL SELECT 'turns', f, 'right', 'right_only', CAST(CASE WHEN f = '' THEN ({_ONE_SIDED_TURNS}) ELSE 0 END AS BIGINT) FROM (VALUES (''), ('turn'), ('role'), ('text')) x(f)""",
     "examples_capped": _EXAMPLES_SQL,
 }

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from driftframe import nested_queries, oracle, perturbed
+from driftframe import case_queries, nested_queries, oracle, perturbed
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {n: perturbed.runner(s) for n, s in perturbed.SPECS.items()} | nested_queries.QUERIES
-SQL = {n: oracle.write(s) for n, s in perturbed.SPECS.items()} | nested_queries.SQL
+QUERIES = {n: perturbed.runner(s) for n, s in perturbed.SPECS.items()} | nested_queries.QUERIES | case_queries.QUERIES
+SQL = {n: oracle.write(s) for n, s in perturbed.SPECS.items()} | nested_queries.SQL | case_queries.SQL
 
 
 @pytest.fixture(scope="module")
