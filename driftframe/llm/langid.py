@@ -38,7 +38,7 @@ from driftframe.llm.sampling import smallest
 PER_LANG, SEQUENCES, RUN = 200, 1200, 24
 GRAM_BITS, WORD_BITS = 16, 18
 ROUNDS, RATE, DECAY = 40, 0.2, 1e-4
-TEXTS, TEXT_BYTES = 2500, 4_000_000  # that go through forward-backward in step
+TEXTS, TEXT_BYTES = 2500, 1_000_000  # that go through forward-backward in step
 UNKNOWN = "und"
 FIT_WORDS, FIT_SHARE = 20, 0.6
 LEAST = 0.34  # below this mean posterior a text is in no learned language; an even guess among four is 0.25
