@@ -65,6 +65,7 @@ def bands_for(least: int) -> int:
 BANDS = bands_for(LEAST)
 SLOTS = BANDS * ROWS
 MAX_BROADCAST = 32_000_000  # bytes of numbers
+PAIRS = 500  # whose differences are put out together
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -171,7 +172,7 @@ def _bitmap(differences: np.ndarray) -> np.ndarray:
 
 def _comparer(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, PAIRS) for whole in batches for i in range(0, whole.num_rows, PAIRS)):
             hubs, nodes = batch.column("hub_elements"), batch.column("node_elements")
             out: dict[str, list] = {c: [] for c in ("linked", "g", "bound", "differences", "bits0", "bits1")}
             for h, x in zip(hubs, nodes):
