@@ -11,9 +11,9 @@ are found in two steps:
 2. Extension. Around each anchor that occurs twice, the windows that contain it are hashed in full (96 bits) and
    counted. Only a window met twice removes its words, so a shared anchor alone removes nothing.
 
-A hash met more than once inside a block of documents is known to repeat: its first place stands for it in the
-count, the other places go on without it, each with a key of its own. So a passage that stands in a third of all
-documents reaches the count once a block, not once a document, and its places are dealt evenly.
+A hash met more than once inside a task is known to repeat: its first place, or its first two if they lie in different
+blocks, stand for it in the count, the other places go on without it, each with a key of its own. So a passage that stands
+in a third of all documents reaches the count once or twice a task, not once a document, and its places are dealt evenly.
 
 Documents are told apart by a 64-bit hash of (doc_id, text); rows equal in both are copies of each other and lose
 all words in windows. Places are judged on the input. Defined results: a null or wordless text, or one of fewer
@@ -39,19 +39,43 @@ COVER = (0, 1, 4, 14, 16)
 #: ``tail`` holds the other half of the hash (32 bits), whether the hash is known to repeat (1 bit), and the place (31 bits).
 _PLACES = "code long, key long, tail long"
 _MANY = 1 << 31
+SEEN = 1 << 19  # hashes that a task remembers
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _once(code: np.ndarray, key: np.ndarray, tail: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
-    """Places for the count, marked where the hash is known to repeat. Repeats inside the block keep their row, under
-    a code of their own, and the first place carries the hash."""
-    order = np.lexsort((code,)) if more is None else np.lexsort((more, code))
-    same = code[order][1:] == code[order][:-1]
-    if more is not None:
-        same &= more[order][1:] == more[order][:-1]
+class _Carried:
+    """Which hashes a task has sent to the count already, in a table of fixed size. A slot holds the last hash that fell on it;
+    a hash that was displaced is merely sent once more, so the table saves rows and decides nothing."""
+
+    def __init__(self) -> None:
+        self.code, self.more, self.times = np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.uint8)
+
+    def again(self, code: np.ndarray, more: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct hashes: which were met before in this task, and which of these need not be sent again, because their
+        repeating is known where they were sent. ``many``: they repeat in this block."""
+        slot = (code % np.uint64(SEEN)).astype(np.int64)
+        met = (self.times[slot] > 0) & (self.code[slot] == code) & (self.more[slot] == more)
+        known = met & (self.times[slot] > 1)
+        # a slot on which several hashes of the block fall takes the last of them, in all three columns
+        last = len(slot) - 1 - np.unique(slot[::-1], return_index=True)[1]
+        at = slot[last]
+        self.code[at], self.more[at], self.times[at] = code[last], more[last], 1 + (met | many)[last]
+        return met, known
+
+
+def _once(code: np.ndarray, key: np.ndarray, tail: np.ndarray, carried: _Carried, more: np.ndarray | None = None) -> pa.RecordBatch:
+    """Places for the count, marked where the hash is known to repeat. Repeats inside the task keep their row, under
+    a code of their own, and the first place, or the first two, carry the hash."""
+    more = np.zeros(len(code), np.uint64) if more is None else more
+    order = np.lexsort((more, code))
+    same = (code[order][1:] == code[order][:-1]) & (more[order][1:] == more[order][:-1])
     many, later = np.zeros(len(code), bool), np.zeros(len(code), bool)
     later[order[1:][same]] = True
     many[order[1:][same]] = many[order[:-1][same]] = True
+    first = np.flatnonzero(~later)
+    met, known = carried.again(code[first], more[first], many[first])
+    many[first[met]] = True
+    later[first[known]] = True
     out = code.copy()
     out[later] = mix(key[later] * np.uint64(3) + tail[later])
     tail = tail | (many.astype(np.uint64) << np.uint64(31))
@@ -59,6 +83,7 @@ def _once(code: np.ndarray, key: np.ndarray, tail: np.ndarray, more: np.ndarray
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    carried = _Carried()
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         for b in blocks(batch.column("text")):
@@ -67,7 +92,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = _IN_COVER[place % PERIOD] & (b.n_words[b.doc[at]] >= SIZE)
             at, place = at[chosen], place[chosen]
             code = b.windows(b.word_hashes(), ANCHOR)[at]
-            yield _once(code, keys[b.rows][b.doc[at]], place.astype(np.uint64))
+            yield _once(code, keys[b.rows][b.doc[at]], place.astype(np.uint64), carried)
 
 
 def _spread(b: Block, places: pa.Array, before: int, after: int, span: int) -> np.ndarray:
@@ -83,6 +108,7 @@ def _spread(b: Block, places: pa.Array, before: int, after: int, span: int) -> n
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    carried = _Carried()
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         for b in blocks(batch.column("text")):
@@ -90,7 +116,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = b.word_hashes()
             code, more = b.windows(words, SIZE)[at], b.windows(words, SIZE, 1)[at] >> np.uint64(32)
             place = (at - b.first[b.doc[at]]).astype(np.uint64)
-            yield _once(code, keys[b.rows][b.doc[at]], (more << np.uint64(32)) | place, more)
+            yield _once(code, keys[b.rows][b.doc[at]], (more << np.uint64(32)) | place, carried, more)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

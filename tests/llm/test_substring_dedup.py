@@ -54,3 +54,25 @@ def test_kept_text(make):
 
 def test_empty(make):
     assert dedup.deduplicate(make([]), digest=True).count() == 0
+
+
+def test_hot_passages_are_carried_a_few_times_a_task_and_small_tables_change_nothing(make, monkeypatch):
+    """The places of a common passage reach the count once or twice a task, whatever the number of blocks; hashes displaced from
+    the table are sent again and found all the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(35)
+    texts = [" ".join([*fresh(40), *(passage if i % 3 == 0 else fresh(35)), *fresh(20)]) for i in range(300)]
+    batches = [pa.record_batch([pa.array([i], pa.int64()), pa.array([t]), pa.array([[40]], pa.list_(pa.int32()))], ["key", "text", "places"]) for i, t in enumerate(texts)]
+    for seen, most in ((dedup.SEEN, 2), (1, 100)):
+        monkeypatch.setattr(dedup, "SEEN", seen)
+        out = pa.Table.from_batches(dedup._windows(iter(batches)))
+        place = out["tail"].to_numpy().view(np.uint64) & np.uint64(dedup._MANY - 1)
+        mine = (place == 40) & (out["key"].to_numpy() % 3 == 0)
+        codes, n = np.unique(out["code"].to_numpy()[mine], return_counts=True)
+        assert mine.sum() == 100 and n.max() <= most and (seen == 1 or len(codes) == 99)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    same(make(rows).coalesce(1), rows)
