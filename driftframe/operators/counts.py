@@ -11,14 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.durable import cut
 from driftframe.functions.status import CATEGORIES, DIFFERENT, MULTIPLE, Level, OneSidedScope
 from driftframe.operators.match import KINDS, kind_of
 from driftframe.plans.plan import LEFT
 
-#: With more counters than this they are computed at once and written as one row: a filter that a caller puts on top would
-#: otherwise have the optimizer derive constraints through hundreds of status columns, which takes minutes.
-WIDE = 400
 RECORD = (*CATEGORIES["common"], ("multiple_matches", MULTIPLE))
 Row = tuple[str, str, str, str, Column | None]
 
@@ -76,8 +72,10 @@ def count_rows(root: Level, lone: list[OneSidedScope]) -> list[Row]:
 
 def counts(judged: DataFrame, root: Level, lone: list[OneSidedScope]) -> DataFrame:
     rows = count_rows(root, lone)
-    wide = judged.agg(*[F.coalesce(n, F.lit(0)).cast("long").alias(f"n{i}") for i, (*_, n) in enumerate(rows) if n is not None])
-    if len(wide.columns) > WIDE:
-        wide = cut(wide)
-    long = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(said, ("scope", "field", "kind", "category"))], (F.lit(0).cast("long") if n is None else F.col(f"n{i}")).alias("n")) for i, (*said, n) in enumerate(rows)])
-    return wide.select(F.inline(long))
+    wide = judged.agg(*[F.coalesce(F.lit(0) if n is None else n, F.lit(0)).cast("long").alias(f"n{i}") for i, (*_, n) in enumerate(rows)])
+    # an unpivot passes no constraints on: else a filter on top would have the optimizer derive them from every status column
+    long = wide.unpivot([], wide.columns, "counter", "n")
+    names = ("scope", "field", "kind", "category")
+    said = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(row, names)]) for row in rows])
+    of = F.get(said, F.substring("counter", 2, 9).cast("int"))
+    return long.select(*[of[c].alias(c) for c in names], "n")
