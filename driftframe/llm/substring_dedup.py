@@ -49,6 +49,7 @@ class _Carried:
 
     def __init__(self) -> None:
         self.code, self.more, self.times = np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.uint64), np.zeros(SEEN, np.uint8)
+        self.owner = np.zeros(SEEN, np.int64)
 
     def again(self, code: np.ndarray, more: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of distinct hashes: which were met before in this task, and which of these need not be sent again, because their
@@ -56,19 +57,23 @@ class _Carried:
         slot = (code % np.uint64(SEEN)).astype(np.int64)
         met = (self.times[slot] > 0) & (self.code[slot] == code) & (self.more[slot] == more)
         known = met & (self.times[slot] > 1)
-        # a slot on which several hashes of the block fall takes the last of them, in all three columns
-        last = len(slot) - 1 - np.unique(slot[::-1], return_index=True)[1]
-        at = slot[last]
-        self.code[at], self.more[at], self.times[at] = code[last], more[last], 1 + (met | many)[last]
+        number = np.arange(len(slot))
+        self.owner[slot] = number  # a slot on which several hashes of the block fall takes one of them, in all three columns
+        one = np.flatnonzero(self.owner[slot] == number)
+        at = slot[one]
+        self.code[at], self.more[at], self.times[at] = code[one], more[one], 1 + (met | many)[one]
         return met, known
 
 
 def _once(code: np.ndarray, key: np.ndarray, tail: np.ndarray, carried: _Carried, more: np.ndarray | None = None) -> pa.RecordBatch:
     """Places for the count, marked where the hash is known to repeat. Repeats inside the task keep their row, under
     a code of their own, and the first place, or the first two, carry the hash."""
-    more = np.zeros(len(code), np.uint64) if more is None else more
-    order = np.lexsort((more, code))
-    same = (code[order][1:] == code[order][:-1]) & (more[order][1:] == more[order][:-1])
+    order = np.argsort(code, kind="stable") if more is None else np.lexsort((more, code))
+    same = code[order][1:] == code[order][:-1]
+    if more is None:
+        more = np.zeros(len(code), np.uint64)
+    else:
+        same &= more[order][1:] == more[order][:-1]
     many, later = np.zeros(len(code), bool), np.zeros(len(code), bool)
     later[order[1:][same]] = True
     many[order[1:][same]] = many[order[:-1][same]] = True
